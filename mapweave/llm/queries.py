@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import leakage, mixing, terms
+from mapweave.llm import leakage, mixing, sentences, terms
 from mapweave.session import table
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizers' vocabulary files
@@ -41,7 +41,11 @@ def p9_mix_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p8_found, p9_mix_draws, p9_mix_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p8_found, p9_mix_draws, p9_mix_shares, p10_found)}
 
 # Full-width forms, the only compatibility characters in these tables that SQL's NFC leaves, fold by code point.
 _WIDE = "".join(chr(c + 0xFEE0) for c in range(33, 127)), "".join(map(chr, range(33, 127))).replace("'", "''")
