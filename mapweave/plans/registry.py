@@ -1,6 +1,6 @@
 """All queries of the core and the SQL beside them."""
 
-from mapweave.plans import dealt, dealt_sql
+from mapweave.plans import dealt, dealt_sql, dialect_queries
 
-QUERIES = dict(dealt.QUERIES)
-SQL = dict(dealt_sql.SQL)
+QUERIES = dealt.QUERIES | dialect_queries.QUERIES
+SQL = dealt_sql.SQL | dialect_queries.SQL
