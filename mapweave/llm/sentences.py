@@ -336,12 +336,16 @@ def sentence_units(docs: DataFrame, doc_id: str, text: str, train_docs: int = 20
     after the sentence's last character. Null and empty texts have no sentences; a text without markup is one body;
     texts are read whole; repeated documents give their rows again.
 
-    The model is fitted on the list items of at most ``train_docs`` documents, those first by a hash of their id, so
-    it does not depend on how the table is cut up; without list items it keeps its prior. Everything else covers all
+    The model is fitted on the list items of at most ``train_docs`` documents, those first by a hash of their id among
+    the five times as many that a hash threshold lets through, so it does not depend on how the table is cut up; without
+    list items it keeps its prior. Everything else covers all
     documents and needs no shuffle.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sample = rows.where(F.contains("text", F.lit("\\item "))).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(train_docs)
+    # A hash threshold first, so that each task sends on its share of the sample and not a whole one.
+    share = min(1.0, 5 * train_docs / max(1, rows.select("doc_id").count()))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sample = rows.where((drawn < int(share * (1 << 30))) & F.contains("text", F.lit("\\item "))).withColumn("h", drawn).orderBy("h", "doc_id").limit(train_docs)
     spark = docs.sparkSession
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
