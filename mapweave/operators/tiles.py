@@ -93,54 +93,55 @@ def tile_totals(counts: DataFrame) -> DataFrame:
     return up.groupBy(F.col("tile").alias("qt_")).agg(own.alias("n"), F.sum("n").alias("total")).select(F.col("qt_").alias("qt"), "n", "total")
 
 
-def choose_tiles(counts: dict[int, int], target: int, least: int, slack: int = 50, widest: int = 1_000_000) -> dict[int, int]:
+def _parent(q: int) -> int:
+    z = (q & 31) - 1
+    return ((q >> (63 - 2 * z)) << (63 - 2 * z)) + z if z else 0
+
+
+def choose_tiles(counts: dict[int, int], target: int, least: int, slack: int = 50, widest: int = 1_000_000, rest: int = 1000) -> dict[int, int]:
     """Tiles that split the counted ones into groups of about ``target`` elements: tile -> elements.
 
-    Passes over the tree with a window of acceptable sizes around the target, widened by ``slack`` each pass and never
-    below ``least``; a tile is taken if something is counted at it or below, its remaining total is in the window, or
-    too large and nothing below it can carry more than ``least``. What is taken leaves its ancestors' totals. What
-    remains in the end goes to the root. The groups' sum equals that of the counts.
+    The tree of tiles is walked from the root in passes. A tile whose subtree has fewer elements left than the lower
+    bound is passed over with all below it. Otherwise it is taken if it counts elements of its own and either has no
+    more than the upper bound, or nothing is left below it, or no child has more than ``least``; if it is not taken,
+    its children are looked at. What is taken is taken off its ancestors. When a pass takes nothing, the bounds, at
+    first ``slack`` to both sides of the target, move apart by ``slack``, the lower one not below ``least``. All ends
+    when the root is taken, at most ``rest`` elements remain, or the upper bound passes ``widest``; what remains then
+    goes to the root. The groups' sum always equals that of the counts.
     """
-    def parent(q: int) -> int:
-        z = (q & 31) - 1
-        return ((q >> (63 - 2 * z)) << (63 - 2 * z)) + z if z else 0
-
     own, total, kids = defaultdict(int), defaultdict(int), defaultdict(set)
-    for q, n in counts.items():
-        own[q] += n
-        total[q] += n
-        while q & 31:
-            up = parent(q)
-            kids[up].add(q)
-            total[up] += n
-            q = up
-    left, groups, window = sum(counts.values()), {}, slack
-    while left > 0 and 0 in total:
-        low, high = max(least, target - window), target + window
-        for q in sorted(total):
-            if q == 0 and left <= high:
+    for tile, n in counts.items():
+        own[tile] += n
+        total[tile] += n
+        while tile & 31:
+            kids[_parent(tile)].add(tile)
+            tile = _parent(tile)
+            total[tile] += n
+    groups: dict[int, int] = {}
+    low, high = max(least, target - slack), target + slack
+    while total[0] > rest and 0 not in groups and high <= widest:
+        before, todo = len(groups), [0]
+        while todo:
+            tile = todo.pop()
+            n = total[tile]
+            if n < low or n <= 0:
                 continue
-            t = total[q]
-            small = all(total[k] <= least for k in kids[q])
-            if t >= low and t > 0 and (t <= high or small) and (own[q] or small or t <= high):
-                groups[q] = groups.get(q, 0) + t
-                left -= t
-                up = q
-                while True:
-                    total[up] -= t
-                    if not up & 31:
-                        break
-                    up = parent(up)
-                below = [q]
-                while below:
-                    k = below.pop()
-                    own[k] = total[k] = 0
-                    below += kids[k]
-        window += slack
-        if left <= max(least, 1000) or window > widest:
-            break
-    if left > 0:
-        groups[0] = groups.get(0, 0) + left
+            if not own[tile] or not (n == own[tile] or n <= high or all(total[k] <= least for k in kids[tile])):
+                todo += sorted(kids[tile], reverse=True)
+                continue
+            groups[tile] = groups.get(tile, 0) + n
+            if not tile & 31:
+                total[0] = 0
+                break
+            up = tile
+            kids[_parent(tile)].discard(tile)
+            while up & 31:
+                up = _parent(up)
+                total[up] -= n
+        if len(groups) == before:
+            low, high = max(least, low - slack), high + slack
+    if total[0] > 0:
+        groups[0] = groups.get(0, 0) + total[0]
     return groups
 
 
