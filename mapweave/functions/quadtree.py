@@ -12,24 +12,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HALF_CIRCUMFERENCE_M = 20037508.3428
-_SPREAD = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
-
-
 def _long(c: Column | int) -> Column:
     return F.lit(c).cast("bigint") if isinstance(c, int) else c.cast("bigint")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spread_bits(c: Column) -> Column:
-    for shift, keep in _SPREAD:
-        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(keep))
-    return c
+    """The bits of a number, a zero before each: its binary digits read to base four."""
+    return F.conv(F.bin(c), 4, 10).cast("bigint")
 
 
-def _gather_bits(c: Column) -> Column:
-    c = c.bitwiseAND(F.lit(_SPREAD[-1][1]))
-    for (shift, _), (_, keep) in zip(reversed(_SPREAD), [*reversed(_SPREAD[:-1]), (0, 0xFFFFFFFF)]):
-        c = c.bitwiseOR(F.shiftright(c, shift)).bitwiseAND(F.lit(keep))
-    return c
+def _gather_bits(c: Column, high: bool) -> Column:
+    """Every other bit of a number: of its digits to base four the low or the high bit."""
+    return F.conv(F.translate(F.conv(c.cast("string"), 10, 4), "0123", "0011" if high else "0101"), 2, 10).cast("bigint")
 
 
 def _shl(c: Column, by: Column | int) -> Column:
@@ -57,8 +56,8 @@ def to_tuple(q: Column) -> Column:
     path = F.when(z == 0, F.lit(0).cast("bigint")).otherwise(_shr(q, 63 - 2 * z))
     none = F.lit(-1).cast("bigint")
     return F.struct(
-        F.when(q == -1, none).otherwise(_gather_bits(path)).alias("x"),
-        F.when(q == -1, none).otherwise(_gather_bits(_shr(path, 1))).alias("y"),
+        F.when(q == -1, none).otherwise(_gather_bits(path, False)).alias("x"),
+        F.when(q == -1, none).otherwise(_gather_bits(path, True)).alias("y"),
         F.when(q == -1, none).otherwise(z).alias("z"),
     )
 
@@ -139,44 +138,64 @@ def unmercator(x: Column, y: Column) -> Column:
 
 def bounds(q: Column, buffer: float = 0.0) -> Column:
     """Struct minx, miny, maxx, maxy (1e-7 degree) of a tile, widened on every side by ``buffer`` times its size."""
-    t = to_tuple(q)
-    tiles = F.pow(F.lit(2.0), t["z"])
-    x0, x1 = t["x"] * 360 / tiles - 180, (t["x"] + 1) * 360 / tiles - 180
-    y0, y1 = _unmerc(90 - (t["y"] + 1) * 180 / tiles), _unmerc(90 - t["y"] * 180 / tiles)
-    dx, dy = (x1 - x0) * buffer, (y1 - y0) * buffer
-    return F.struct(to_int(x0 - dx).alias("minx"), to_int(y0 - dy).alias("miny"), to_int(x1 + dx).alias("maxx"), to_int(y1 + dy).alias("maxy"))
+    def of(t: Column) -> Column:
+        tiles = F.pow(F.lit(2.0), t["z"])
+        x0, x1 = t["x"] * 360 / tiles - 180, (t["x"] + 1) * 360 / tiles - 180
+        return F.struct(x0.alias("x0"), _unmerc(90 - (t["y"] + 1) * 180 / tiles).alias("y0"), x1.alias("x1"), _unmerc(90 - t["y"] * 180 / tiles).alias("y1"))
+
+    def widened(b: Column) -> Column:
+        dx, dy = (b["x1"] - b["x0"]) * buffer, (b["y1"] - b["y0"]) * buffer
+        return F.struct(to_int(b["x0"] - dx).alias("minx"), to_int(b["y0"] - dy).alias("miny"), to_int(b["x1"] + dx).alias("maxx"), to_int(b["y1"] + dy).alias("maxy"))
 
+    return let(let(to_tuple(q), of), widened)
 
-def _halving(lo: Column, hi: Column, low_bit_is_upper: bool, buffer: float, levels: int) -> Column:
-    """Along one axis of the square from -1 to 1: how often [lo, hi] fits a half, give or take buffer, and which."""
-    b = F.lit(float(buffer))
 
-    def step(s: Column, _: Column) -> Column:
-        lower = (s["hi"] <= 0) | ((s["hi"] < b) & (F.abs(s["hi"]) < F.abs(s["lo"])))
-        upper = (s["lo"] >= 0) | ((s["lo"] > -b) & (F.abs(s["hi"]) >= F.abs(s["lo"])))
-        go = s["on"] & (s["lo"] >= -1 - b) & (s["hi"] <= 1 + b) & (lower | upper)
-        shift = F.when(lower, F.lit(1.0)).otherwise(F.lit(-1.0))
-        bit = F.when(lower == F.lit(low_bit_is_upper), F.lit(0)).otherwise(F.lit(1))
-        moved = lambda c: F.when(go, 2 * c + shift).otherwise(c)
-        return F.struct(moved(s["lo"]).alias("lo"), moved(s["hi"]).alias("hi"), F.when(go, s["bits"] * 2 + bit).otherwise(s["bits"]).cast("bigint").alias("bits"), (s["depth"] + F.when(go, 1).otherwise(0)).cast("int").alias("depth"), go.alias("on"))
+def _fits(lo: Column, hi: Column, level: Column, buffer: float) -> Column:
+    """Whether [lo, hi], in the span from -1 to 1, goes on into a half of its cell of the level above, give or take.
 
-    start = F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(0).cast("bigint").alias("bits"), F.lit(0).alias("depth"), F.lit(True).alias("on"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, step)
+    The cell and the half are those of the middle of [lo, hi]. In the cell's own coordinates, again from -1 to 1, the
+    box may reach beyond the cell, and beyond the half, by ``buffer``.
+    """
+    cells = F.pow(F.lit(2.0), level - 1)
+    middle = (lo + hi) / 2
+    centre = (2 * F.greatest(F.lit(0.0), F.least(F.floor((middle + 1) / 2 * cells).cast("double"), cells - 1)) + 1) / cells - 1
+    a, b = (lo - centre) * cells, (hi - centre) * cells
+    half = F.when(middle >= centre, a > -buffer).otherwise(b < buffer)
+    return (a >= -1 - buffer) & (b <= 1 + buffer) & ((b <= 0) | (a >= 0) | half)
 
 
 def calculate(minx: Column, miny: Column, maxx: Column, maxy: Column, buffer: float, max_level: int) -> Column:
     """The deepest tile, up to ``max_level``, that holds the box (1e-7 degree) or does so but for ``buffer`` of its size.
 
-    An empty box (a minimum above its maximum) has no tile. Both axes are halved on their own; the tile goes as deep as
-    the shallower of the two.
+    An empty box (a minimum above its maximum) has no tile, nor has a null one a result. Both axes are halved on their
+    own around the middle of the box, so a level's cell is known without those above it; the tile goes as deep as both
+    axes fit. A box whose ends share a cell of ``max_level``, as nearly every point's do, is settled at once; for others
+    the levels are looked at from the first at which the ends part.
     """
     if max_level == 0:
         return F.when((minx > maxx) | (miny > maxy), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
     widen = lambda lo, hi: F.when(lo == hi, to_float(hi) + 1e-7).otherwise(to_float(hi))
-    # At the poles the projection runs off to infinity, where nothing fits a half.
-    flat = lambda d: F.when(d >= 90, F.lit(float("inf"))).when(d <= -90, F.lit(float("-inf"))).otherwise(_merc(d) / 90)
-    across = _halving(to_float(minx) / 180, widen(minx, maxx) / 180, True, buffer, max_level)
-    down = _halving(flat(to_float(miny)), flat(widen(miny, maxy)), False, buffer, max_level)
-    z = F.least(across["depth"], down["depth"])
-    tile = from_tuple(_shr(across["bits"], across["depth"] - z), _shr(down["bits"], down["depth"] - z), z)
-    return F.when((minx > maxx) | (miny > maxy), F.lit(-1).cast("bigint")).otherwise(tile)
+    # At the poles the projection runs off to infinity, where nothing fits a half; a number far outside stands for it.
+    flat = lambda d: F.when(d >= 90, F.lit(1e3)).when(d <= -90, F.lit(-1e3)).otherwise(_merc(d) / 90)
+    x0, x1, y0, y1 = to_float(minx) / 180, widen(minx, maxx) / 180, flat(to_float(miny)), flat(widen(miny, maxy))
+    cells = float(2**max_level)
+    # Numbers of the last level's cells; those outside the square are never equal.
+    east = lambda v, out: F.when((v >= -1) & (v < 1), F.floor((v + 1) / 2 * cells).cast("bigint")).otherwise(F.lit(out).cast("bigint"))
+    south = lambda v, out: F.when((v > -1) & (v < 1), F.floor((1 - v) / 2 * cells).cast("bigint")).otherwise(F.lit(out).cast("bigint"))
+    quick = (east(x0, -1) == east(x1, -2)) & (south(y0, -1) == south(y1, -2))
+    settled = from_tuple(east(x0, 0), south(y0, 0), F.lit(max_level).cast("bigint"))
+    shared = lambda a, b: F.when((a < 0) | (b < 0), F.lit(0)).otherwise(F.lit(max_level) - F.when(a == b, 0).otherwise(F.length(F.bin(a.bitwiseXOR(b)))))
+    box = F.struct(x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), F.least(shared(east(x0, -1), east(x1, -1)), shared(south(y0, -1), south(y1, -1))).cast("int").alias("z"))
+
+    def tile(b: Column) -> Column:
+        deeper = lambda z, k: F.when((z == k - 1) & _fits(b["x0"], b["x1"], k, buffer) & _fits(b["y0"], b["y1"], k, buffer), k).otherwise(z)
+        levels = F.when(b["z"] < max_level, F.sequence(b["z"] + 1, F.lit(max_level))).otherwise(F.array().cast("array<int>"))
+
+        def at(z: Column) -> Column:
+            n = F.pow(F.lit(2.0), z)
+            place = lambda m: F.greatest(F.lit(0.0), F.least(F.floor(m / 2 * n).cast("double"), n - 1)).cast("bigint")
+            return from_tuple(place((b["x0"] + b["x1"]) / 2 + 1), place(1 - (b["y0"] + b["y1"]) / 2), z)
+
+        return let(F.aggregate(levels, b["z"], deeper), at)
+
+    return F.when((minx > maxx) | (miny > maxy), F.lit(-1).cast("bigint")).when(quick, settled).otherwise(let(box, tile))

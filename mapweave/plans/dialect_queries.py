@@ -46,7 +46,7 @@ CASES: dict[str, tuple[str, tuple[str, ...], str]] = {
     "fn_length_bytes": ("select p_partkey, char_length(p_name || 'ü') as a, length(p_size) as b from part", ("part",), "select p_partkey, (strlen(p_name) + 2)::bigint as a, 0::bigint as b from part"),
     "fn_substr_bytes": ("select p_partkey, substr(p_type, 2, 4) as a, substr(p_type, 0, 4) as b, substr(p_type, 1, 500) as c, substr(p_type, 3, 0) as d from part", ("part",), "select p_partkey, case when strlen(p_type) >= 5 then substr(p_type, 2, 4) end as a, case when strlen(p_type) >= 3 then substr(p_type, 1, 3) end as b, null::varchar as c, null::varchar as d from part"),
     "fn_concat": ("select p_partkey, concat(p_brand, '-', p_type) as a, p_brand || p_size as b, p_brand || nullif(p_brand, 'Brand#11') as c from part", ("part",), "select p_partkey, p_brand || '-' || p_type as a, null as b, p_brand || nullif(p_brand, 'Brand#11') as c from part"),
-    "fn_arith_int": ("select o_orderkey, (o_orderkey - 1000) / 7 as a, o_orderkey * 3 + o_custkey - 5 as b, 9223372036854775807 + o_orderkey as w from orders", ("orders",), "select o_orderkey, cast(trunc((o_orderkey - 1000) / 7.0) as bigint) as a, o_orderkey * 3 + o_custkey - 5 as b, -9223372036854775808 + (o_orderkey - 1) as w from orders"),
+    "fn_arith_int": ("select o_orderkey, (o_orderkey - 1000) / 7 as a, o_orderkey * 3 + o_custkey - 5 as b, 9223372036854775807 + o_orderkey as w from orders", ("orders",), "select o_orderkey, cast(trunc((o_orderkey - 1000) / 7.0) as bigint) as a, o_orderkey * 3 + o_custkey - 5 as b, case when o_orderkey = 0 then 9223372036854775807 else -9223372036854775808 + greatest(o_orderkey - 1, 0) end as w from orders"),
     "fn_arith_float": ("select l_orderkey, l_quantity + 1 as a, l_quantity * 'x' as b, 'x' + 1 as c, l_quantity / 4 as d from lineitem", ("lineitem",), "select l_orderkey, l_quantity + 1 as a, 0.0::double as b, null as c, l_quantity / 4 as d from lineitem"),
     "fn_strreplace_null": ("select p_partkey, strreplace(p_name, 'a', 'b') as r from part", ("part",), "select p_partkey, null as r from part"),
 }

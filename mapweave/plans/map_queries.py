@@ -321,7 +321,10 @@ def route_list(spark, d):
     return found.select("way", F.array_join("values", ";").alias("routes")).where(F.size("values") > 0)
 
 
-@query(f"with {_N} select id, printf('POINT(%.6f %.6f)', lon / 1e7, lat / 1e7) as wkt from n")
+_SIX = "(case when {c} < 0 then '-' else '' end || (abs({c}) + 5) // 10000000 || '.' || lpad((((abs({c}) + 5) // 10) % 1000000)::varchar, 6, '0'))"
+
+
+@query(f"with {_N} select id, 'POINT(' || {_SIX.format(c='lon')} || ' ' || {_SIX.format(c='lat')} || ')' as wkt from n")
 def wkt_point(spark, d):
     return nodes(spark, d).select("id", geometry.wkt_point(F.col("lon"), F.col("lat")).alias("wkt"))
 
