@@ -316,8 +316,7 @@ def parent_highway(spark, d):
 
 @query(f"with {_R}, {_M}, v as (select id, list_filter(tags, lambda e: e.k = 'maxspeed')[1].v as s from r where len(list_filter(tags, lambda e: e.k = 'maxspeed')) = 1) select mem_ref as way, string_agg(distinct s, ';' order by s) as routes from m join v on v.id = relation_id where mem_type = 1 and mem_ref is not null group by mem_ref having string_agg(distinct s, ';' order by s) is not null")
 def route_list(spark, d):
-    rel = relations(spark, d).where(F.size(F.filter("tags", lambda e: e["k"] == "maxspeed")) == 1)
-    found = geometry.relation_value_range(_tagged(rel), members(spark, d), F.lit(True), "maxspeed")
+    found = geometry.relation_value_range(_tagged(relations(spark, d)), members(spark, d), F.lit(True), "maxspeed")
     return found.select("way", F.array_join("values", ";").alias("routes")).where(F.size("values") > 0)
 
 
