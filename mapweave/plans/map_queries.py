@@ -237,8 +237,8 @@ def change_as_normal(spark, d):
 
 @query(f"with b as ({_B}), t as (select 0 as kind, id, max(qt) as qt from full_nodes where qt >= 0 group by id) select b.kind, b.id, b.vs, t.qt from b join t on t.kind = b.kind and t.id = b.id")
 def attach_qt(spark, d):
-    t = table(spark, d, "full_nodes", "id", "qt").where("qt >= 0").groupBy("id").agg(F.max("qt").alias("qt")).select(F.lit(0).alias("kind"), "id", "qt")
-    return tiles.attach_tiles(_base(spark, d), t).select("kind", "id", "vs", "qt")
+    every = [table(spark, d, t, "id", "qt").where("qt >= 0").groupBy("id").agg(F.max("qt").alias("qt")).select(F.lit(k).alias("kind"), "id", "qt") for k, t in enumerate(("full_nodes", "full_ways", "full_relations"))]
+    return tiles.attach_tiles(_base(spark, d), every[0].union(every[1]).union(every[2])).select("kind", "id", "vs", "qt")
 
 
 # Extracts: an eighth of the planet, and the first regions' polygons.

@@ -27,3 +27,9 @@ def test_route_list_of_one_kind(spark):
     rels = spark.createDataFrame([(1, bus | {"ref": "7"}), (2, bus | {"ref": "12"}), (3, {"type": "route", "route": "bicycle", "ref": "9"}), (4, bus)], "id bigint, tags map<string,string>")
     mem = spark.createDataFrame([(i, 0, 1, 10, "") for i in (1, 2, 3, 4)], MEMBER)
     assert [tuple(r) for r in geometry.route_list(rels, mem, "bus", "ref").collect()] == [(10, "12;7")]
+
+
+def test_attach_qt_of_all_kinds(spark, tmp_path):
+    rows = [(1, 1, 1, True, 64), (1, 2, 2, True, 96), (2, 1, 1, True, -1), (3, 1, 1, False, 64)]
+    d = tables(spark, tmp_path, **{t: (rows, ELEMENT) for t in ("full_nodes", "full_ways", "full_relations")})
+    assert sorted(tuple(r) for r in map_queries.attach_qt(spark, d).collect()) == [(k, 1, 2, 96) for k in (0, 1, 2)]
