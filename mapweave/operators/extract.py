@@ -54,7 +54,7 @@ def area_from_text(text: str) -> Area:
     return Area(box=boxes.parse_box(text))
 
 
-def selected_ids(nodes: DataFrame, ways: DataFrame, members: DataFrame, area: Area, max_rounds: int = 20) -> DataFrame:
+def selected_ids(nodes: DataFrame, ways: DataFrame, members: DataFrame, area: Area) -> DataFrame:
     """``kind, id`` of what belongs to the area.
 
     Nodes inside it; ways with at least one node inside; all other nodes of those ways, null refs left out; relations
@@ -72,15 +72,13 @@ def selected_ids(nodes: DataFrame, ways: DataFrame, members: DataFrame, area: Ar
     path = fresh_path(spark, "relations")
     rels = written(keyed.join(picked, ["kind", "id"], "left_semi").select(F.col("relation_id").alias("id")).distinct(), "relations", path)
     nested = keyed.where("kind = 2").select("relation_id", "id").distinct()
-    n = rels.count()
-    for _ in range(max_rounds):
+    before, n = 0, rels.count()
+    while n > before:
         old, path = path, fresh_path(spark, "relations")
         more = nested.join(rels, "id", "left_semi").select(F.col("relation_id").alias("id"))
         rels = written(rels.union(more).distinct(), "relations", path)
         remove(spark, old)
         before, n = n, rels.count()
-        if n == before:
-            break
     out = picked.unionByName(others.select(F.lit(0).alias("kind"), "id")).distinct()
     return out.unionByName(rels.select(F.lit(2).alias("kind"), "id"))
 

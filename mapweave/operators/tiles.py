@@ -40,12 +40,12 @@ def node_tiles(nodes: DataFrame, ways: DataFrame, tiles: DataFrame, level: int =
     return nodes.select(F.col("id").alias("node"), "lon", "lat").join(used, "node", "left").select("node", F.coalesce("common", own).alias("qt"))
 
 
-def relation_tiles(relations: DataFrame, members: DataFrame, nodes: DataFrame, ways: DataFrame, max_rounds: int = 20) -> DataFrame:
+def relation_tiles(relations: DataFrame, members: DataFrame, nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """``relation, qt``: the common tile of all members, members of member relations included.
 
     ``relations``: id; ``members``: relation_id, mem_type, mem_ref; ``nodes``: node, qt; ``ways``: way, qt. A relation
     without placed members gets the root, 0. Member relations pass their tiles up until nothing changes: a common tile
-    only moves towards the root, so that settles, loops included; at most ``max_rounds`` rounds are run.
+    only moves towards the root, so that settles, loops included; there is no cap on the rounds, which are as many as the nesting asks for.
     """
     direct = members.where("mem_type = 0").join(nodes.select(F.col("node").alias("mem_ref"), "qt"), "mem_ref").select("relation_id", "qt")
     direct = direct.unionByName(members.where("mem_type = 1").join(ways.select(F.col("way").alias("mem_ref"), "qt"), "mem_ref").select("relation_id", "qt"))
@@ -55,7 +55,8 @@ def relation_tiles(relations: DataFrame, members: DataFrame, nodes: DataFrame, w
     links = written(links, "links")
     spark, path = relations.sparkSession, fresh_path(relations.sparkSession, "tiles")
     state = written(state, "tiles", path)
-    for _ in range(max_rounds if links.take(1) else 0):
+    changed = links.take(1)
+    while changed:
         passed = links.join(state.select(F.col("relation_id").alias("mem_ref"), F.col("qt").alias("up")), "mem_ref").groupBy("relation_id").agg(qt.common_agg(F.col("up")).alias("up"))
         new = state.join(passed, "relation_id", "left").select("relation_id", qt.common(F.col("qt"), F.coalesce("up", F.lit(-1)).cast("bigint")).alias("new"), "qt")
         old, path = path, fresh_path(spark, "tiles")
@@ -63,8 +64,6 @@ def relation_tiles(relations: DataFrame, members: DataFrame, nodes: DataFrame, w
         state = both.select("relation_id", F.col("new").alias("qt"))
         changed = both.where("new <> qt").take(1)
         remove(spark, old)
-        if not changed:
-            break
     return state.select(F.col("relation_id").alias("relation"), F.greatest(F.col("qt"), F.lit(0)).alias("qt"))
 
 

@@ -148,7 +148,7 @@ def relation_qt_nested(spark, d):
     none = spark.createDataFrame([], "node bigint, qt bigint")
     rel = relations(spark, d)
     inside = members(spark, d).join(rel.select(F.col("id").alias("mem_ref"), F.lit(2).alias("mem_type")), ["mem_ref", "mem_type"], "left_semi")
-    return tiles.relation_tiles(rel, members(spark, d).where("mem_type = 1").unionByName(inside.select("relation_id", "pos", "mem_type", "mem_ref", "mem_role")), none, w, max_rounds=200)
+    return tiles.relation_tiles(rel, members(spark, d).where("mem_type = 1").unionByName(inside.select("relation_id", "pos", "mem_type", "mem_ref", "mem_role")), none, w)
 
 
 @query(f"select {_round_sql('qt', 10)} as qt, count(*) as n from full_nodes where qt >= 0 group by 1")
@@ -251,7 +251,7 @@ _SEL = f"""with recursive {_N}, {_W}, {_R}, {_M}, i as (select id from n where {
 
 
 def _selected(spark, d) -> DataFrame:
-    return extract.selected_ids(nodes(spark, d), ways(spark, d), members(spark, d), extract.Area(box=_BOX), max_rounds=200)
+    return extract.selected_ids(nodes(spark, d), ways(spark, d), members(spark, d), extract.Area(box=_BOX))
 
 
 @query(f"with {_N} select id, lon, lat from n where {_IN}")

@@ -1,6 +1,6 @@
 """The queries over the map tables and their operators, on small tables."""
 
-from mapweave.operators import geometry
+from mapweave.operators import extract, geometry, tiles
 from mapweave.plans import map_queries
 
 ELEMENT = "id bigint, vs bigint, ts bigint, visible boolean, qt bigint"
@@ -33,3 +33,20 @@ def test_attach_qt_of_all_kinds(spark, tmp_path):
     rows = [(1, 1, 1, True, 64), (1, 2, 2, True, 96), (2, 1, 1, True, -1), (3, 1, 1, False, 64)]
     d = tables(spark, tmp_path, **{t: (rows, ELEMENT) for t in ("full_nodes", "full_ways", "full_relations")})
     assert sorted(tuple(r) for r in map_queries.attach_qt(spark, d).collect()) == [(k, 1, 2, 96) for k in (0, 1, 2)]
+
+
+def chain(spark, depth):
+    """Relation 1 holds 2, 2 holds 3 and so on; the last holds way 7."""
+    return spark.createDataFrame([(k, 0, 2, k + 1, "") for k in range(1, depth)] + [(depth, 0, 1, 7, "")], MEMBER)
+
+
+def test_relation_tiles_however_deeply_nested(spark):
+    rels, ways = spark.range(1, 24), spark.createDataFrame([(7, 96)], "way bigint, qt bigint")
+    got = tiles.relation_tiles(rels, chain(spark, 23), spark.createDataFrame([], "node bigint, qt bigint"), ways)
+    assert {(r["relation"], r["qt"]) for r in got.collect()} == {(k, 96) for k in range(1, 24)}
+
+
+def test_selected_ids_however_deeply_nested(spark):
+    nodes = spark.createDataFrame([(5, 1, 1), (6, 99, 99)], "id bigint, lon bigint, lat bigint")
+    got = extract.selected_ids(nodes, spark.createDataFrame([(7, [5, 6])], "id bigint, refs array<bigint>"), chain(spark, 23), extract.Area(box=(0, 0, 9, 9)))
+    assert {tuple(r) for r in got.collect()} == {(0, 5), (0, 6), (1, 7)} | {(2, k) for k in range(1, 24)}
