@@ -40,15 +40,18 @@ def node_tiles(nodes: DataFrame, ways: DataFrame, tiles: DataFrame, level: int =
     return nodes.select(F.col("id").alias("node"), "lon", "lat").join(used, "node", "left").select("node", F.coalesce("common", own).alias("qt"))
 
 
-def relation_tiles(relations: DataFrame, members: DataFrame, nodes: DataFrame, ways: DataFrame) -> DataFrame:
+def relation_tiles(relations: DataFrame, members: DataFrame, nodes: DataFrame, ways: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
     """``relation, qt``: the common tile of all members, members of member relations included.
 
-    ``relations``: id; ``members``: relation_id, mem_type, mem_ref; ``nodes``: node, qt; ``ways``: way, qt. A relation
+    ``relations``: id; ``members``: relation_id, mem_type, mem_ref; ``nodes``: node, qt; ``ways``: way, qt;
+    ``fixed``: relation, qt of member relations that are not among ``relations`` and stand as placed members. A relation
     without placed members gets the root, 0. Member relations pass their tiles up until nothing changes: a common tile
     only moves towards the root, so that settles, loops included; there is no cap on the rounds, which are as many as the nesting asks for.
     """
     direct = members.where("mem_type = 0").join(nodes.select(F.col("node").alias("mem_ref"), "qt"), "mem_ref").select("relation_id", "qt")
     direct = direct.unionByName(members.where("mem_type = 1").join(ways.select(F.col("way").alias("mem_ref"), "qt"), "mem_ref").select("relation_id", "qt"))
+    if fixed is not None:
+        direct = direct.unionByName(members.where("mem_type = 2").join(fixed.select(F.col("relation").alias("mem_ref"), "qt"), "mem_ref").select("relation_id", "qt"))
     base = direct.groupBy("relation_id").agg(qt.common_agg(F.col("qt")).alias("qt"))
     state = relations.select(F.col("id").alias("relation_id")).join(base, "relation_id", "left").select("relation_id", F.coalesce("qt", F.lit(-1)).cast("bigint").alias("qt"))
     links = members.where("mem_type = 2 and mem_ref is not null and relation_id <> mem_ref").select("relation_id", "mem_ref").distinct()

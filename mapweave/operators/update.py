@@ -87,9 +87,8 @@ def calc_update(changes: DataFrame, base: DataFrame, tile_list: DataFrame, inclu
     others = old.where("kind = 2").join(live.where("kind = 2").select("id"), "id", "left_anti")
     old_ways = old.where("kind = 1").join(way_qt.select(F.col("way").alias("id")), "id", "left_anti").select(F.col("id").alias("way"), "qt")
     # Member relations that did not change stand for themselves, as members with a known tile.
-    fixed = members.where("mem_type = 2").join(others.select(F.col("id").alias("mem_ref"), "qt"), "mem_ref").groupBy("relation_id").agg(qt.common_agg(F.col("qt")).alias("f"))
-    rels = tiles.relation_tiles(live.where("kind = 2").select("id"), members, node_qt, way_qt.unionByName(old_ways))
-    rel_qt = rels.withColumnRenamed("relation", "relation_id").join(fixed, "relation_id", "left").select(F.col("relation_id").alias("id"), qt.common(F.col("qt"), F.coalesce("f", none)).alias("qt"))
+    fixed = others.select(F.col("id").alias("relation"), "qt")
+    rel_qt = tiles.relation_tiles(live.where("kind = 2").select("id"), members, node_qt, way_qt.unionByName(old_ways), fixed).withColumnRenamed("relation", "id")
 
     kind = lambda k, df, c: df.select(F.lit(k).cast("tinyint").alias("kind"), F.col(c).alias("id"), F.col("qt").alias("new_qt"))
     now = kind(0, node_qt, "node").unionByName(kind(1, way_qt, "way")).unionByName(kind(2, rel_qt, "id"))

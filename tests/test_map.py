@@ -1,6 +1,6 @@
 """The queries over the map tables and their operators, on small tables."""
 
-from mapweave.operators import extract, geometry, tiles
+from mapweave.operators import extract, geometry, tiles, update
 from mapweave.plans import map_queries
 
 ELEMENT = "id bigint, vs bigint, ts bigint, visible boolean, qt bigint"
@@ -50,3 +50,12 @@ def test_selected_ids_however_deeply_nested(spark):
     nodes = spark.createDataFrame([(5, 1, 1), (6, 99, 99)], "id bigint, lon bigint, lat bigint")
     got = extract.selected_ids(nodes, spark.createDataFrame([(7, [5, 6])], "id bigint, refs array<bigint>"), chain(spark, 23), extract.Area(box=(0, 0, 9, 9)))
     assert {tuple(r) for r in got.collect()} == {(0, 5), (0, 6), (1, 7)} | {(2, k) for k in range(1, 24)}
+
+
+def test_update_takes_the_tiles_of_unchanged_member_relations(spark):
+    both = "kind tinyint, id bigint, lon bigint, lat bigint, refs array<bigint>, members array<struct<type:tinyint,ref:bigint,role:string>>"
+    q = (1 << 61) + 1
+    base = spark.createDataFrame([(2, 9, None, None, None, [], q, 0)], f"{both}, qt bigint, tile bigint")
+    rows = [(2, 1, None, None, None, [(2, 9, "")], 4, 1), (2, 2, None, None, None, [(2, 1, "")], 4, 2), (2, 3, None, None, None, [(2, 4, "")], 4, 3)]
+    out, _ = update.calc_update(spark.createDataFrame(rows, f"{both}, change tinyint, seq bigint"), base, spark.createDataFrame([(0,), (q,)], "qt bigint"))
+    assert {(r["id"], r["tile"], r["qt"]) for r in out.where("kind = 2").collect()} == {(1, q, q), (2, q, q), (3, 0, 0)}
