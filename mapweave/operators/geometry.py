@@ -162,15 +162,15 @@ def way_geometries(ways: DataFrame, style: Style) -> DataFrame:
     )
 
 
-def parent_highway(values: Column) -> Column:
-    """Of the highway values of a node's ways the one it takes.
+def parent_highway(value: Column, n: Column) -> Column:
+    """Of the highway values of a node's ways the one it takes, as an aggregate over the distinct ones with their counts.
 
     A single value as it is. Else the highest rank; at the same rank one that is no link, then the smaller text. If no
-    value has a rank, the most frequent one, then the smaller text. ``values`` is an array, one entry per occurrence.
+    value has a rank, one that is no link, then the most frequent one, then the smaller text.
     """
-    ranks = F.create_map(*[F.lit(x) for kv in HIGHWAY_RANK.items() for x in kv])
-    scored = F.transform(values, lambda v: F.struct((-F.coalesce(F.try_element_at(ranks, v), F.lit(0))).alias("r"), v.endswith("link").cast("int").alias("link"), F.when(F.try_element_at(ranks, v).isNull(), -F.size(F.filter(values, lambda o: o == v))).otherwise(0).alias("n"), v.alias("v")))
-    return F.when(F.size(values) == 1, F.get(values, F.lit(0))).otherwise(F.array_min(scored)["v"])
+    rank = F.try_element_at(F.create_map(*[F.lit(x) for kv in HIGHWAY_RANK.items() for x in kv]), value)
+    often = F.when(rank.isNull(), -n).otherwise(0)
+    return F.min(F.struct((-F.coalesce(rank, F.lit(0))).alias("r"), value.endswith("link").cast("int").alias("link"), often.alias("n"), value.alias("v")))["v"]
 
 
 def node_parent_highways(nodes: DataFrame, ways: DataFrame) -> DataFrame:
@@ -179,8 +179,7 @@ def node_parent_highways(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     tagged = nodes.where(F.map_contains_key("tags", "highway")).select("id")
     # Values per node are counted before they move: a node on many ways costs one row per value and task.
     counted = on.join(tagged, "id", "left_semi").groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
-    values = counted.groupBy("id").agg(F.flatten(F.sort_array(F.collect_list(F.array_repeat("v", F.least(F.col("n"), F.lit(10_000)).cast("int"))))).alias("vs"))
-    return values.select("id", parent_highway(F.col("vs")).alias("parent_highway"))
+    return counted.groupBy("id").agg(parent_highway(F.col("v"), F.col("n")).alias("parent_highway"))
 
 
 def relation_value_range(relations: DataFrame, members: DataFrame, test: Column, key: str) -> DataFrame:

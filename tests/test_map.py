@@ -1,5 +1,7 @@
 """The queries over the map tables and their operators, on small tables."""
 
+from pyspark.sql import functions as F
+
 from mapweave.operators import extract, geometry, tiles, update
 from mapweave.plans import map_queries
 
@@ -59,3 +61,11 @@ def test_update_takes_the_tiles_of_unchanged_member_relations(spark):
     rows = [(2, 1, None, None, None, [(2, 9, "")], 4, 1), (2, 2, None, None, None, [(2, 1, "")], 4, 2), (2, 3, None, None, None, [(2, 4, "")], 4, 3)]
     out, _ = update.calc_update(spark.createDataFrame(rows, f"{both}, change tinyint, seq bigint"), base, spark.createDataFrame([(0,), (q,)], "qt bigint"))
     assert {(r["id"], r["tile"], r["qt"]) for r in out.where("kind = 2").collect()} == {(1, q, q), (2, q, q), (3, 0, 0)}
+
+
+def test_parent_highway_counts_very_frequent_values(spark):
+    ways = spark.range(20_003).select(F.create_map(F.lit("highway"), F.when(F.col("id") <= 10_000, "aaa").otherwise("zzz")).alias("tags"), F.array(F.lit(1).cast("bigint")).alias("refs"))
+    few = spark.createDataFrame([({"highway": v}, [i]) for i, v in ((2, "service"), (2, "trunk"), (2, "trunk_link"), (3, "odd"))], "tags map<string,string>, refs array<bigint>")
+    nodes = spark.createDataFrame([(i, {"highway": "crossing"}) for i in (1, 2, 3)], "id bigint, tags map<string,string>")
+    got = geometry.node_parent_highways(nodes, ways.unionByName(few))
+    assert {r["id"]: r["parent_highway"] for r in got.collect()} == {1: "zzz", 2: "trunk", 3: "odd"}
