@@ -1,96 +1,197 @@
-"""References to records that do not exist, by bitmaps per key range and period.
-
-Ids are integers already; the bitmap of a key range has one bit for each of its ids. Per element type and range there
-are bitmaps of the live ids by the period they were first loaded in, and of the referred ids by the period of the
-referring element. A reference is settled if its id was live before its own period began: that is one AND-NOT of two
-bitmaps. The few bits that survive are decoded and looked at exactly.
+"""References to records that do not exist, by compressed bitmaps per key range and period.
+
+A key range holds 2^16 ids of one element type. The live ids of a range by the period they were first loaded in, and the
+referred ids by the period of the referring element, are kept as compressed containers: sorted 16-bit numbers where
+there are few, a bitmap where that is smaller. Tasks make them from whole partitions before anything moves, so what is
+shuffled are containers, and a key that a third of all references share is one number of one container a task. Where a
+range comes together its keys are dictionary-encoded, so bitmaps are as long as there are keys, however far apart their
+ids lie. A reference is settled if its id was live before its own period began: that is the AND-NOT of two bitmaps,
+period by period. The few bits that survive are decoded and looked at exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 
-from mapweave.operators.current import current_rows
+from mapweave.session import written
 
-_BITS = 32768  # ids per key range: what one of the engine's bitmaps holds
+_LOW = 16
+_DENSE = 4096  # numbers from which a container of 2^16 bits is no larger as a bitmap
 _PERIOD_S = 7 * 86400
-
-
-@arrow_udf(T.ArrayType(T.IntegerType()))
-def _bits_left(refs: pa.Array, known: pa.Array) -> pa.Array:
-    """Positions of the bits of ``refs`` that ``known`` lacks; a null ``known`` has none."""
-    out = []
-    for r, k in zip(refs, known):
-        bits = np.frombuffer(r.as_buffer(), np.uint8)
-        if k.is_valid:
-            bits = bits & ~np.frombuffer(k.as_buffer(), np.uint8)
-        out.append(np.flatnonzero(np.unpackbits(bits, bitorder="little")).astype(np.int32))
-    lengths = np.array([0, *map(len, out)], dtype=np.int32)
-    return pa.ListArray.from_arrays(np.cumsum(lengths, dtype=np.int32), np.concatenate([np.zeros(0, np.int32), *out]))
+_ALWAYS, _NEVER = -(2**31), 2**31 - 1  # period of ids live at any time, and of references that are never late
+_HOLD = 1 << 21  # numbers a task holds before it packs or settles them
+_PACKED = "kind int, bucket bigint, period int, asked boolean, bits binary"
+_NAMES = ["kind", "bucket", "period", "asked", "bits"]
+
+
+def pack(kind: np.ndarray, ids: np.ndarray, period: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
+    """Containers of the given numbers, one per (kind, range, period, asked); repeats are dropped."""
+    order = np.lexsort((ids, asked, period, kind))
+    kind, ids, period, asked = kind[order], ids[order], period[order], asked[order]
+    bucket = ids >> _LOW
+    new_key = np.r_[True, (kind[1:] != kind[:-1]) | (bucket[1:] != bucket[:-1]) | (period[1:] != period[:-1]) | (asked[1:] != asked[:-1])]
+    keep = new_key | np.r_[True, ids[1:] != ids[:-1]]
+    first = np.flatnonzero(new_key[keep])
+    low = (ids[keep] & 0xFFFF).astype("<u2")
+    n = np.diff(np.r_[first, len(low)])
+    dense = np.flatnonzero(n >= _DENSE)
+    size = n * 2
+    size[dense] = 8192
+    offsets = np.r_[0, np.cumsum(size)]
+    if len(dense):
+        parts, at = [], 0
+        for i in dense.tolist():
+            bits = np.zeros(1 << _LOW, np.uint8)
+            bits[low[first[i] : first[i] + n[i]]] = 1
+            parts += [low[at : first[i]].tobytes(), np.packbits(bits, bitorder="little").tobytes()]
+            at = first[i] + n[i]
+        data = b"".join([*parts, low[at:].tobytes()])
+    else:
+        data = low.tobytes()
+    # A batch of numbers packs into less than they take themselves, so 32-bit offsets do.
+    packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    heads = [a[keep][first] for a in (kind, bucket, period, asked)]
+    return pa.RecordBatch.from_arrays([pa.array(heads[0], pa.int32()), pa.array(heads[1], pa.int64()), pa.array(heads[2], pa.int32()), pa.array(heads[3], pa.bool_()), packed], names=_NAMES)
+
+
+def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, id, period, asked) of every number in the containers of a batch."""
+    bits = batch.column("bits").cast(pa.large_binary())
+    offsets = np.frombuffer(bits.buffers()[1], np.int64)[bits.offset : bits.offset + len(bits) + 1]
+    data = np.frombuffer(bits.buffers()[2] or b"", np.uint8)
+    size = np.diff(offsets)
+    heads = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "bucket", "period", "asked")]
+    dense = size == 8192
+    low, n = [], []
+    if not dense.any():
+        low.append(data[offsets[0] : offsets[-1]].view("<u2"))
+        n.append(size // 2)
+    else:
+        for i in range(len(size)):
+            piece = data[offsets[i] : offsets[i + 1]]
+            low.append(np.flatnonzero(np.unpackbits(piece, bitorder="little")) if dense[i] else piece.copy().view("<u2"))
+            n.append([len(low[-1])])
+    count = np.concatenate(n).astype(np.int64)
+    kind, bucket, period, asked = (np.repeat(h, count) for h in heads)
+    return kind.astype(np.int64), (bucket.astype(np.int64) << _LOW) + np.concatenate(low).astype(np.int64), period.astype(np.int64), asked.astype(bool)
+
+
+def _packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Containers of a partition's rows ``kind, id, period, asked``."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "id", "period", "asked")])
+            n += batch.num_rows
+        if n >= _HOLD:
+            yield pack(*(np.concatenate(x) for x in zip(*held)))
+            held, n = [], 0
+    if held:
+        yield pack(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _unsettled(kind: np.ndarray, ids: np.ndarray, period: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
+    """The (kind, id, period) that are asked for and not live in an earlier period, of whole key ranges."""
+    order = np.lexsort((ids, kind))
+    kind, ids, period, asked = kind[order], ids[order], period[order], asked[order]
+    new = np.r_[True, (kind[1:] != kind[:-1]) | (ids[1:] != ids[:-1])] if len(ids) else np.zeros(0, bool)
+    code = np.cumsum(new) - 1  # the dictionary: numbers of the distinct keys, in key order
+    keys = np.flatnonzero(new)
+    known = np.zeros(len(keys), bool)
+    by_period = np.argsort(period, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(period[by_period]) != 0]) if len(ids) else np.zeros(0, np.int64)
+    left_code, left_period = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(ids)]):
+        rows = by_period[a:b]
+        want = np.zeros(len(keys), bool) if len(rows) * 8 > len(keys) else None
+        codes = code[rows[asked[rows]]]
+        if want is not None:
+            want[codes] = True
+            codes = np.flatnonzero(want & ~known)
+        else:
+            codes = np.unique(codes[~known[codes]])
+        left_code.append(codes)
+        left_period.append(np.full(len(codes), period[rows[0]]))
+        known[code[rows[~asked[rows]]]] = True
+    at = keys[np.concatenate(left_code)]
+    return pa.RecordBatch.from_arrays([pa.array(kind[at], pa.int32()), pa.array(np.concatenate(left_period), pa.int32()), pa.array(ids[at], pa.int64())], names=["mem_type", "period", "ref_id"])
+
+
+def _settling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Containers sorted by (kind, bucket), all of a range's together, to the references they leave open.
+
+    Whole ranges are settled together as soon as there are enough numbers. A range that alone brings more than that is
+    shortened on the way: what it can hold at once is each of its ids once per period.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    n, limit = 0, _HOLD
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(unpack(batch))
+        n += len(held[-1][0])
+        if n < limit:
+            continue
+        kind, ids, period, asked = (np.concatenate(x) for x in zip(*held))
+        last = (kind == kind[-1]) & (ids >> _LOW == ids[-1] >> _LOW)
+        if not last.all():
+            yield _unsettled(*(a[~last] for a in (kind, ids, period, asked)))
+        held = [unpack(pack(*(a[last] for a in (kind, ids, period, asked))))]
+        n = len(held[0][0])
+        limit = max(_HOLD, 2 * n)
+    if held:
+        yield _unsettled(*(np.concatenate(x) for x in zip(*held)))
 
 
 def _period(c: Column) -> Column:
     return F.floor(F.unix_seconds(c.cast("timestamp")) / _PERIOD_S).cast("int")
 
 
-def element_states(kind: int, rows: DataFrame) -> DataFrame:
-    """``kind, id, deleted, first`` of every id of a base table: whether its current row is deleted, and its earliest ``loaded_at``."""
-    packed = F.struct(F.col("vs").cast("bigint").alias("vs"), F.col("ts").cast("bigint").alias("ts"), (~F.coalesce(F.col("visible"), F.lit(True))).alias("deleted"))
-    both = rows.where("id is not null").select(F.col("id").cast("bigint").alias("id"), packed.alias("r"), F.col("loaded_at").alias("loaded"))
-    both = both.groupBy("id").agg(F.max("r").alias("r"), F.min("loaded").alias("first"))
-    return both.select(F.lit(kind).cast("int").alias("kind"), "id", F.col("r.deleted").alias("deleted"), "first")
+def element_rows(kind: int, rows: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
+    """``kind, id, deleted, first, ts, loaded`` and carried columns of every id of a base table, in one pass.
 
-
-def current_versions(rows: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
-    """``id, ts, loaded`` and carried columns of the current rows of elements that exist.
-
-    ``loaded`` is the earliest ``loaded_at`` among the rows of the current version (same id, vs and ts).
+    ``deleted``, ``ts`` and what is carried are those of the current row; ``first`` is the id's earliest ``loaded_at``,
+    ``loaded`` the earliest among the rows of the current version (same id, vs and ts). Null ids are left out.
     """
     carry = carry or {}
-    body = F.struct((~F.coalesce(F.col("visible"), F.lit(True))).alias("deleted"), *[c.alias(n) for n, c in carry.items()])
-    version = rows.where("id is not null").groupBy(F.col("id").cast("bigint").alias("id"), F.col("vs").cast("bigint").alias("vs"), F.col("ts").cast("bigint").alias("ts"))
-    version = version.agg(F.min("loaded_at").alias("loaded"), F.max(body).alias("body"))
-    best = version.groupBy("id").agg(F.max(F.struct("vs", "ts", "loaded", "body")).alias("r"))
-    return best.where("not r.body.deleted").select("id", F.col("r.ts").alias("ts"), F.col("r.loaded").alias("loaded"), *[F.col(f"r.body.{n}").alias(n) for n in carry])
+    # Of the rows of one version, which agree in all else, the one loaded first: the greatest by the negated time.
+    version = F.struct(F.col("vs").cast("bigint").alias("vs"), F.col("ts").cast("bigint").alias("ts"), (-F.unix_micros(F.col("loaded_at").cast("timestamp"))).alias("early"), (~F.coalesce(F.col("visible"), F.lit(True))).alias("deleted"), *[c.alias(f"c_{n}") for n, c in carry.items()])
+    one = rows.where("id is not null").select(F.col("id").cast("bigint").alias("id"), version.alias("r"), F.col("loaded_at").cast("timestamp").alias("at"))
+    one = one.groupBy("id").agg(F.max("r").alias("r"), F.min("at").alias("first"))
+    return one.select(F.lit(kind).cast("int").alias("kind"), "id", F.col("r.deleted").alias("deleted"), "first", F.col("r.ts").alias("ts"), F.timestamp_micros(-F.col("r.early")).alias("loaded"), *[F.col(f"r.c_{n}").alias(n) for n in carry])
 
 
 def orphan_references(references: DataFrame, states: DataFrame) -> DataFrame:
     """The references that no live, early enough element answers, each with its reason.
 
     ``references``: ``src_table, src_id, mem_type, ref_id, ym, loaded`` (distinct or not); ``states``: ``kind, id,
-    deleted, first``, one row per id. Result: the references' columns but ``loaded``, and ``reason``: ``missing`` if
-    the id has no row of that type, else ``deleted``, else ``late`` if it was first loaded later than ``loaded``.
-    A null ``ref_id`` or ``mem_type`` is no reference. A null ``first`` or ``loaded`` is never late.
+    deleted, first``, one row per id; further columns do not matter. Both are read twice and should be written tables
+    or cheap. Result, distinct: the references' columns but ``loaded``, and ``reason``: ``missing`` if the id has no row
+    of that type, else ``deleted``, else ``late`` if it was first loaded later than ``loaded``. A null ``ref_id`` or
+    ``mem_type`` is no reference. A null ``first`` or ``loaded`` is never late. Empty tables are fine.
 
-    A key that many references share is one bit, set before the shuffle; the exact look-up joins only what survives.
+    One shuffle of containers by key range; the exact look-up and the way back to the references join only what
+    survives, by broadcast where the session finds that small enough.
     """
-    refs = references.where("ref_id is not null and mem_type is not null").select("src_table", "src_id", F.col("mem_type").cast("int").alias("mem_type"), F.col("ref_id").cast("bigint").alias("ref_id"), "ym", "loaded").distinct()
-    refs = refs.withColumn("period", F.coalesce(_period(F.col("loaded")), F.lit(2**31 - 1)))
-    at = [F.floor(F.col("ref_id") / _BITS).cast("bigint").alias("bucket"), F.pmod("ref_id", F.lit(_BITS)).alias("bit")]
-    asked = refs.select(F.col("mem_type").alias("kind"), "period", *at)
-    asked = asked.groupBy("kind", "bucket", "period").agg(F.bitmap_construct_agg("bit").alias("asked"))
-
-    live = states.where(~F.col("deleted")).select("kind", F.floor(F.col("id") / _BITS).cast("bigint").alias("bucket"), F.pmod("id", F.lit(_BITS)).alias("bit"), F.coalesce(_period(F.col("first")), F.lit(-(2**31))).alias("since"))
-    live = live.groupBy("kind", "bucket", "since").agg(F.bitmap_construct_agg("bit").alias("live"))
-    # Known at the start of a period: everything first loaded in an earlier one.
-    marks = live.select("kind", "bucket", F.col("since").alias("at"), "live", F.lit(None).cast("binary").alias("asked"), F.lit(None).cast("int").alias("period"))
-    marks = marks.unionByName(asked.select("kind", "bucket", F.col("period").alias("at"), F.lit(None).cast("binary").alias("live"), "asked", "period"))
-    earlier = Window.partitionBy("kind", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    known = marks.withColumn("known", F.bitmap_or_agg("live").over(earlier)).where("asked is not null")
-    left = known.select("kind", "period", "bucket", F.explode(_bits_left(F.col("asked"), F.col("known"))).alias("bit"))
-    left = left.select(F.col("kind").alias("mem_type"), "period", (F.col("bucket") * _BITS + F.col("bit")).alias("ref_id"))
-
-    found = states.select(F.col("kind").alias("mem_type"), F.col("id").alias("ref_id"), "deleted", "first")
-    open_ = left.join(found, ["mem_type", "ref_id"], "left")
-    open_ = open_.where(F.col("deleted").isNull() | F.col("deleted") | (F.col("first").isNotNull()))
+    refs = references.where("ref_id is not null and mem_type is not null").select("src_table", "src_id", F.col("mem_type").cast("int").alias("mem_type"), F.col("ref_id").cast("bigint").alias("ref_id"), "ym", "loaded")
+    refs = refs.withColumn("period", F.coalesce(_period(F.col("loaded")), F.lit(_NEVER)))
+    row = lambda kind, id_, period, asked: [F.col(kind).cast("int").alias("kind"), F.col(id_).cast("bigint").alias("id"), period.alias("period"), F.lit(asked).alias("asked")]
+    live = states.where(~F.col("deleted") & F.col("id").isNotNull()).select(*row("kind", "id", F.coalesce(_period(F.col("first")), F.lit(_ALWAYS)), False))
+    numbers = live.unionByName(refs.select(*row("mem_type", "ref_id", F.col("period"), True)))
+    packed = numbers.mapInArrow(_packing, _PACKED).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    left = written(packed.mapInArrow(_settling, "mem_type int, period int, ref_id bigint"), "open")
+
+    found = states.select(F.col("kind").cast("int").alias("mem_type"), F.col("id").cast("bigint").alias("ref_id"), "deleted", "first")
+    known = found.join(left.select("mem_type", "ref_id").distinct(), ["mem_type", "ref_id"])
+    open_ = left.join(known, ["mem_type", "ref_id"], "left").where(F.col("deleted").isNull() | F.col("deleted") | F.col("first").isNotNull())
     out = refs.join(open_, ["mem_type", "period", "ref_id"])
     reason = F.when(F.col("deleted").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("first") > F.col("loaded"), "late")
-    return out.withColumn("reason", reason).where("reason is not null").select("src_table", "src_id", "mem_type", "ref_id", "ym", "reason")
+    return out.withColumn("reason", reason).where("reason is not null").select("src_table", "src_id", "mem_type", "ref_id", "ym", "reason").distinct()
 
 
 def _month(ts: Column) -> Column:
@@ -98,10 +199,13 @@ def _month(ts: Column) -> Column:
 
 
 def element_references(ways: DataFrame, relations: DataFrame, members: DataFrame) -> DataFrame:
-    """References of existing ways to nodes, and of existing relations to members of types 0 to 2, for ``orphan_references``."""
-    own = current_versions(ways, {"refs": F.col("refs")})
-    from_ways = own.select(F.lit("full_ways").alias("src_table"), F.col("id").alias("src_id"), F.lit(0).alias("mem_type"), F.explode("refs").alias("ref_id"), _month(F.col("ts")).alias("ym"), "loaded")
-    heads = current_versions(relations).withColumnRenamed("id", "relation_id")
+    """References of existing ways to nodes, and of existing relations to members of types 0 to 2, for ``orphan_references``.
+
+    ``ways`` and ``relations`` as ``element_rows`` gives them, ways with ``refs``.
+    """
+    own = ways.where(~F.col("deleted"))
+    from_ways = own.select(F.lit("full_ways").alias("src_table"), F.col("id").alias("src_id"), F.lit(0).alias("mem_type"), F.explode(F.array_distinct("refs")).alias("ref_id"), _month(F.col("ts")).alias("ym"), "loaded")
+    heads = relations.where(~F.col("deleted")).select(F.col("id").alias("relation_id"), "ts", "loaded")
     mem = members.where(F.col("mem_type").isin(0, 1, 2) & F.col("mem_ref").isNotNull()).select("relation_id", F.col("mem_type").cast("int").alias("mem_type"), F.col("mem_ref").alias("ref_id"))
     from_rels = mem.join(heads, "relation_id").select(F.lit("rel_members").alias("src_table"), F.col("relation_id").alias("src_id"), "mem_type", "ref_id", _month(F.col("ts")).alias("ym"), "loaded")
     return from_ways.unionByName(from_rels).where("ref_id is not null")

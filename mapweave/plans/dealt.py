@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.operators import change_log, heavy_keys, hierarchy, multivalue, orphans, proximity
-from mapweave.session import table
+from mapweave.session import table, written
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +23,7 @@ def p2_tile_totals(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     changes = table(spark, d, "osc_changes", "change_type", "object_type", "id", "vs", "ts", "seq", "file_idx")
     base = {k: table(spark, d, n, "id", "vs", "ts", "visible") for k, n in enumerate(("full_nodes", "full_ways", "full_relations"))}
-    n = 3
+    n = 6  # runs of the log: enough for one to be compacted from others before the rest is merged
     lo, hi = changes.agg(F.min("file_idx"), F.max("file_idx")).first()
     run = None if lo is None else F.floor((F.col("file_idx") - lo) * n / (hi - lo + 1)).cast("int")
     return change_log.apply_changes(changes, base, run, n)
@@ -64,9 +64,13 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     cols = ("id", "vs", "ts", "visible", "loaded_at")
-    nodes, ways, rels = table(spark, d, "full_nodes", *cols), table(spark, d, "full_ways", *cols, "refs"), table(spark, d, "full_relations", *cols)
     members = table(spark, d, "rel_members", "relation_id", "mem_type", "mem_ref")
-    states = orphans.element_states(0, nodes).unionByName(orphans.element_states(1, ways)).unionByName(orphans.element_states(2, rels))
+    # One pass over each table; what comes of it is looked at from several sides.
+    nodes = written(orphans.element_rows(0, table(spark, d, "full_nodes", *cols)).drop("ts", "loaded"), "nodes")
+    ways = written(orphans.element_rows(1, table(spark, d, "full_ways", *cols, "refs"), {"refs": F.col("refs")}), "ways")
+    rels = written(orphans.element_rows(2, table(spark, d, "full_relations", *cols)), "relations")
+    state = ("kind", "id", "deleted", "first")
+    states = nodes.select(*state).unionByName(ways.select(*state)).unionByName(rels.select(*state))
     return orphans.orphan_references(orphans.element_references(ways, rels, members), states)
 
 

@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: list[str] = []
+_MADE: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and used instead.
+    Where that is unset, a session in a single process, as in tests, gets a temporary folder; any other is refused, since
+    its executors could not see what the others write there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "") or ""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="mapweave-"))
     return "file://" + _LOCAL_DIR[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is put there goes with ``sweep``, or when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -41,9 +51,33 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``written`` made and that no open plan reads any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    """Delete a folder that ``written`` made and that no open plan reads any more.
+
+    A session that has no JVM at hand leaves it to whoever looks after the shared folder.
+    """
+    _MADE.discard(path)
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables this process has made; results that read them must have been saved before."""
+    for path in list(_MADE):
+        remove(spark, path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    for folder in _LOCAL_DIR:
+        shutil.rmtree(folder, ignore_errors=True)
+        _MADE.difference_update([p for p in _MADE if p.startswith("file://" + folder)])
+    try:
+        if _MADE and (spark := SparkSession.getActiveSession()) is not None:
+            sweep(spark)
+    except Exception:  # the session is gone already
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -3,10 +3,13 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mapweave.operators import change_log, heavy_keys, hierarchy, multivalue, orphans, proximity
+from mapweave.streaming import change_stream
 
 ENTRIES = "quadtree bigint, entry_id bigint, qt_count bigint, block_idx bigint, key string, cum int, split int"
 
@@ -97,6 +100,49 @@ def test_runs_are_compacted(spark, tmp_path):
     assert {(r["id"], r["vs"]) for r in store.merged().collect()} == {(0, 4), (1, 4), (2, 4)}
 
 
+def test_store_is_opened_again(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    rows = lambda n, change=4: change_log.change_rows(feed(spark, [(change, 0, k, n, 5, n) for k in range(3)]))
+    first = change_log.SortedRuns(spark, path, fan_in=3, buckets=2)
+    first.append(rows(1), batch=0)
+    first.append(rows(2, 1), batch=1)
+    again = change_log.SortedRuns(spark, path)
+    assert (again.state["buckets"], again.state["fan_in"], len(again.runs)) == (2, 3, 2)
+    again.append(rows(9), batch=1)  # seen already
+    assert {(r["vs"], r["dead"]) for r in again.merged().collect()} == {(2, True)}
+    again.append(rows(3), batch=2)
+    assert len(again.runs) == 1 and {(r["vs"], r["dead"]) for r in again.merged().collect()} == {(3, False)}
+
+
+def test_runs_merge_in_key_order_piece_by_piece():
+    rng = random.Random(8)
+    rows = [(rng.choice([0, 1]), rng.randrange(300), rng.randrange(5), None if rng.random() < 0.2 else rng.randrange(3), i, rng.random() < 0.3, rng.random() < 0.5) for i in range(900)]
+    best, runs = {}, {}
+    for i, r in enumerate(rows):
+        run = runs.setdefault(i % 5, {})
+        rank = lambda x: (x[2], -1 if x[3] is None else x[3], x[4], x[5])
+        for into in (run, best):
+            old = into.get(r[:2], r)
+            into[r[:2]] = (*max(old, r, key=rank)[:6], old[6] or r[6])
+    streams = []
+    for run in runs.values():
+        table = pa.Table.from_pylist([dict(zip(change_log._ROWS.names, run[k])) for k in sorted(run)], schema=change_log._ROWS)
+        streams.append(table.to_batches(max_chunksize=17))
+    got = [tuple(r.values()) for b in change_log.merge_sorted(streams) for r in b.to_pylist()]
+    assert got == [best[k] for k in sorted(best)]
+    assert list(change_log.merge_sorted([])) == [] and list(change_log.merge_sorted([[], streams[0][:0]])) == []
+
+
+def test_following_change_files(spark, tmp_path):
+    schema = "change_type int, object_type int, id bigint, vs bigint, ts bigint, seq bigint"
+    store = change_log.SortedRuns(spark, f"file://{tmp_path}/runs", fan_in=2, buckets=2)
+    for n in (1, 2, 3):
+        spark.createDataFrame([(4, 0, 7, n, 5, n), (1, 0, 8, n, 5, n)], schema).write.mode("append").parquet(f"{tmp_path}/feed")
+        change_stream.follow_changes(spark, f"{tmp_path}/feed", schema, change_log.SortedRuns(spark, store.path), f"{tmp_path}/checkpoint").awaitTermination()
+    got = {(r["id"], r["vs"], r["dead"]) for r in change_log.SortedRuns(spark, store.path).merged().collect()}
+    assert got == {(7, 3, False), (8, 3, True)}
+
+
 def meters(a, b):
     (x, y), (u, v) = [(math.radians(p[0] / 1e7), math.radians(p[1] / 1e7)) for p in (a, b)]
     h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
@@ -207,9 +253,31 @@ def test_orphans_against_brute_force(spark):
     assert {r["reason"] for r in orphans.orphan_references(rdf, sdf.limit(0)).collect()} == {"missing"}
 
 
+@pytest.mark.parametrize("n", [1, 4095, 4096, 4097, 65536])
+def test_containers_come_out_as_they_went_in(n):
+    rng = np.random.default_rng(n)
+    ids = np.r_[rng.choice(65536, n, replace=False) - (5 << 16), [2**62, -(2**62)]]
+    kind, period, asked = np.r_[np.zeros(n), [1, 2]].astype(np.int64), np.full(n + 2, 7), np.r_[np.ones(n), [0, 1]].astype(bool)
+    batch = orphans.pack(*(np.r_[a, a] for a in (kind, ids, period, asked)))
+    assert batch.num_rows == 3 and max(len(x) for x in batch.column("bits").to_pylist()) <= 8192
+    for some in (batch, batch.slice(1)):
+        got = sorted(zip(*(a.tolist() for a in orphans.unpack(some))))
+        heads = set(zip(*(some.column(c).to_pylist() for c in ("kind", "bucket"))))
+        assert got == sorted(x for x in zip(kind.tolist(), ids.tolist(), period.tolist(), asked.tolist()) if (x[0], x[1] >> 16) in heads)
+
+
+def test_orphans_of_a_hot_range_and_of_far_apart_ids(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "_HOLD", 100)
+    ids = [3] * 900 + list(range(0, 60_000, 7)) + [k << 40 for k in range(1, 300)]
+    rdf = spark.createDataFrame([("t", n, 0, i, "2020-01", None) for n, i in enumerate(ids)], "src_table string, src_id bigint, mem_type int, ref_id bigint, ym string, loaded timestamp")
+    sdf = spark.createDataFrame([(0, i, False, None) for i in set(ids) if i % 3 == 0], "kind int, id bigint, deleted boolean, first timestamp")
+    got = [(r["src_id"], r["ref_id"]) for r in orphans.orphan_references(rdf, sdf).collect()]
+    assert sorted(got) == [(n, i) for n, i in enumerate(ids) if i % 3]
+
+
 CASES = {
     "a;b": ["a", "b"], "a": ["a"], "": [], " ; ,": [], "St. X-1, y": ["St. X-1", "y"], '"a;b";c': ["a;b", "c"], r"a\;b;c": ["a;b", "c"],
-    'x "y ""z""";w': ['x y "z"', "w"], '"";a': ["a"], '"open; to the end': ["open; to the end"], r'a\"b;c': ['a"b', "c"], "a\\": ["a"], r"a\;b": ["a\\", "b"],
+    'x "y ""z""";w': ['x y "z"', "w"], '"";a': ["a"], '"open; to the end': ["open; to the end"], r'a\"b;c': ['a"b', "c"], "a\\": ["a"], r"a\;b": ["a;b"],
     "é́ü；b、c": ["é́ü", "b", "c"], " a　;b\t c\n": ["a", "b", "c"], '"a""b"': ['a"b'], 'p"q;r"s|t': ["pq;rs", "t"],
 }
 
