@@ -227,6 +227,57 @@ def test_hierarchies_against_climbing(spark, monkeypatch, seed):
     assert pairs == {(int(a), n) for n, p in want.items() if p[2] for a in p[2].split("/")[:-1]}
 
 
+def descend(links):
+    """All paths from roots, and the nodes in or below loops, by walking."""
+    kids, nodes = {}, {n for link in links for n in link}
+    for p, c in set(links):
+        kids.setdefault(p, []).append(c)
+    indegree = {n: 0 for n in nodes}
+    for _, c in set(links):
+        indegree[c] += 1
+    todo = [n for n in nodes if not indegree[n]]
+    roots = list(todo)
+    free = set()
+    while todo:
+        n = todo.pop()
+        free.add(n)
+        for c in kids.get(n, ()):
+            indegree[c] -= 1
+            if not indegree[c]:
+                todo.append(c)
+    paths, stack = [], [(r,) for r in roots]
+    while stack:
+        path = stack.pop()
+        paths.append(path)
+        stack += [(*path, c) for c in kids.get(path[-1], ()) if c in free]
+    return paths, nodes - free
+
+
+@pytest.mark.parametrize("case", ["two", "ladder", "entered loop", "below", "random"])
+def test_several_parents_give_several_paths(spark, case):
+    rng = random.Random(4)
+    links = {
+        "two": [(1, 3), (2, 3), (3, 4)],
+        "ladder": [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (4, 6), (5, 7), (6, 7), (7, 8), (2, 9)],
+        "entered loop": [(1, 5), (5, 6), (6, 5), (1, 2), (6, 7), (2, 7), (8, 8), (3, 8), (8, 9)],
+        "below": [(10, 11), (11, 10), (11, 20), (5, 20), (20, 21), (4, 30), (21, 30), (4, 31)],
+        "random": [(rng.randrange(40), rng.randrange(20, 60)) for _ in range(60)],
+    }[case]
+    paths, looped = descend(links)
+    df = spark.createDataFrame([(p, c, "a", "b", 1, 2) for p, c in links + links[:2]], LINKS)
+    rows = hierarchy.hierarchies(df, "parent", "child").collect()
+    want = [(p[-1], p[0], len(p) - 1, "/".join(map(str, p))) for p in paths] + [(n, -1, -1, "") for n in looped]
+    assert sorted((r["node"], r["root"], r["n_above"], r["path"]) for r in rows) == sorted(want)
+    pairs = [tuple(r) for r in hierarchy.descendant_pairs(df, "parent", "child").collect()]
+    assert sorted(pairs) == sorted({(a, p[-1], len(p) - 1 - i) for p in paths for i, a in enumerate(p[:-1])})
+
+
+def test_peeling_leaves_the_loops(spark):
+    links = [(i, i + 1) for i in range(70)] + [(100, 101), (101, 102), (102, 100), (102, 103), (103, 104), (300, 300)] + [(200 + i, 201 + i) for i in range(40)]
+    df = spark.createDataFrame(links, "p bigint, c bigint")
+    assert {r["node"] for r in hierarchy.loop_nodes(df).collect()} == {100, 101, 102, 300}
+
+
 def test_hierarchies_of_nothing(spark):
     assert hierarchy.hierarchies(spark.createDataFrame([], LINKS), "parent", "child").count() == 0
 
