@@ -329,6 +329,7 @@ def test_orphans_of_a_hot_range_and_of_far_apart_ids(spark, monkeypatch):
 CASES = {
     "a;b": ["a", "b"], "a": ["a"], "": [], " ; ,": [], "St. X-1, y": ["St. X-1", "y"], '"a;b";c': ["a;b", "c"], r"a\;b;c": ["a;b", "c"],
     'x "y ""z""";w': ['x y "z"', "w"], '"";a': ["a"], '"open; to the end': ["open; to the end"], r'a\"b;c': ['a"b', "c"], "a\\": ["a"], r"a\;b": ["a;b"],
+    "a\uffffb;c\ufffed": ["a", "b", "c", "d"], '"a\uffffb\ufffe";c\uffffd': ["a\uffffb\ufffe", "c", "d"], "a\\\uffff;b\\\ufffe": ["a\uffff", "b\ufffe"], "\\\\;x": ["\\", "x"],
     "é́ü；b、c": ["é́ü", "b", "c"], " a　;b\t c\n": ["a", "b", "c"], '"a""b"': ['a"b'], 'p"q;r"s|t': ["pq;rs", "t"],
 }
 
