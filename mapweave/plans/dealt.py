@@ -30,20 +30,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
-    return proximity.node_positions(table(spark, d, "full_nodes", "id", "vs", "ts", "visible", "lon", "lat"))
+    return written(proximity.node_positions(table(spark, d, "full_nodes", "id", "vs", "ts", "visible", "lon", "lat")), "positions")
 
 
-def p4_near(spark: SparkSession, d: str) -> DataFrame:
-    return proximity.pairs_within(_positions(spark, d), 30.0)
+def p4_near(spark: SparkSession, d: str, points: DataFrame | None = None) -> DataFrame:
+    return proximity.pairs_within(_positions(spark, d) if points is None else points, 30.0)
 
 
-def p4_inside(spark: SparkSession, d: str) -> DataFrame:
-    return proximity.points_in_regions(_positions(spark, d), table(spark, d, "loc_test_polygons", "region_id", "ring_label", "verts"))
+def p4_inside(spark: SparkSession, d: str, points: DataFrame | None = None) -> DataFrame:
+    return proximity.points_in_regions(_positions(spark, d) if points is None else points, table(spark, d, "loc_test_polygons", "region_id", "ring_label", "verts"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    near = p4_near(spark, d).select(F.lit("near").alias("match_kind"), "id_a", "id_b")
-    inside = p4_inside(spark, d).select(F.lit("inside").alias("match_kind"), F.col("id").alias("id_a"), F.col("region_id").alias("id_b"))
+    points = _positions(spark, d)
+    near = p4_near(spark, d, points).select(F.lit("near").alias("match_kind"), "id_a", "id_b")
+    inside = p4_inside(spark, d, points).select(F.lit("inside").alias("match_kind"), F.col("id").alias("id_a"), F.col("region_id").alias("id_b"))
     return near.unionByName(inside)
 
 

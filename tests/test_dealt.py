@@ -168,6 +168,35 @@ def test_pairs_against_brute_force(spark, radius):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_pairs_in_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "_CROWD", 7)
+    rng = random.Random(5)
+    pts = [(int(rng.gauss(0, 4000)), int(rng.gauss(0, 4000))) for _ in range(150)] + [(9, 9)] * 30
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id bigint, lon bigint, lat bigint")
+    want = {(i, j) for i in range(len(pts)) for j in range(i + 1, len(pts)) if meters(pts[i], pts[j]) <= 30}
+    rows = [tuple(r) for r in proximity.pairs_within(df, 30.0).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def in_ring(ring, x, y):
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        if (ay > y) != (by > y) and (by > ay) == ((x - ax) * (by - ay) < (bx - ax) * (y - ay)):
+            odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("cell", [3, 40, 1000])
+def test_regions_clipped_to_cells(spark, cell):
+    rng = random.Random(cell)
+    rings = [(k % 4, "!h" if k % 5 == 4 else "o", [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(rng.choice([3, 4, 9]))]) for k in range(12)]
+    vert = "array<struct<lon:bigint,lat:bigint>>"
+    pts = [(i, rng.randrange(-70, 70), rng.randrange(-70, 70)) for i in range(300)]
+    got = {tuple(r) for r in proximity.points_in_regions(spark.createDataFrame(pts, "id bigint, lon bigint, lat bigint"), spark.createDataFrame(rings, f"region_id bigint, ring_label string, verts {vert}"), cell).collect()}
+    want = {(i, q) for i, x, y in pts for q in range(4) if any(in_ring(r, x, y) for k, n, r in rings if k == q and n == "o") and not any(in_ring(r, x, y) for k, n, r in rings if k == q and n == "!h")}
+    assert got == want
+
+
 def test_positions_leave_out_what_is_none(spark):
     rows = [(1, 1, 1, None, 5, 5), (2, 1, 1, True, None, 5), (3, 1, 1, True, -1_800_000_000, -900_000_000), (4, 1, 1, True, 1_800_000_001, 0), (5, 1, 1, True, 3, 3), (5, 2, 0, False, 3, 3), (6, None, 1, True, 7, 7), (6, 1, None, True, 8, 8), (None, 1, 1, True, 1, 1), (7, 1, 1, True, -1_800_000_000, 0)]
     df = spark.createDataFrame(rows, "id bigint, vs bigint, ts bigint, visible boolean, lon bigint, lat bigint")
