@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,14 +21,16 @@ from mapweave.session import written
 _CACHE = 400_000  # chunks a task remembers the token count of
 
 
+def ranks_of(vocabulary: bytes) -> dict[bytes, int]:
+    """Tokens and ranks of a vocabulary file: a line for each, the token in base 64 and its rank."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str):
-    import public_tokenizers
+def _encoder(vocabulary: bytes, pattern: str):
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks_of(vocabulary), special_tokens={})
 
 
 # A blank run and what follows it up to the next blank. The tokenizer's pattern never joins a non-blank to a blank
@@ -39,12 +41,12 @@ _TAIL = re.compile(f"[{_BLANK}]+\\Z")
 
 
 class _Counts(dict):
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes, pattern: str):
         super().__init__()
-        self.path = path
+        self.encoder = _encoder(vocabulary, pattern)
 
     def __missing__(self, chunk: str) -> int:
-        n = len(_encoder(self.path).encode_ordinary(chunk))
+        n = len(self.encoder.encode_ordinary(chunk))
         if len(self) >= _CACHE:
             self.clear()
         self[chunk] = n
@@ -52,24 +54,29 @@ class _Counts(dict):
 
 
 @lru_cache(maxsize=2)
-def _counts(path: str) -> _Counts:
-    return _Counts(path)
+def token_counter(vocabulary: bytes, pattern: str) -> Callable[[str], int]:
+    """Counts the tokens of a text, specials read as ordinary text."""
+    count = _Counts(vocabulary, pattern)
 
+    def tokens(text: str) -> int:
+        total = sum(map(count.__getitem__, _CHUNK.findall(text)))
+        tail = _TAIL.search(text, max(0, len(text) - 1)) and _TAIL.search(text)
+        return total + (count[tail.group()] if tail else 0)
 
-def token_count(text: str, path: str) -> int:
-    """Tokens of a text, specials read as ordinary text."""
-    count = _counts(path)
-    total = sum(map(count.__getitem__, _CHUNK.findall(text)))
-    tail = _TAIL.search(text, max(0, len(text) - 1)) and _TAIL.search(text)
-    return total + (count[tail.group()] if tail else 0)
+    return tokens
 
 
-def with_token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``doc_id, source, n_tokens``; ``docs`` needs ``doc_id, text, source``. A null text has no tokens."""
+def with_token_counts(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
+    """``doc_id, source, n_tokens``; ``docs`` needs ``doc_id, text, source``. A null text has no tokens.
+
+    The vocabulary, a file of about a megabyte, goes out with the job, so workers need no file of their own.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = token_counter(sent.value, pattern)
         for b in batches:
-            n = [token_count(t, tokenizer) if t else 0 for t in b.column("text").to_pylist()]
+            n = [count(t) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
@@ -111,23 +118,25 @@ def plan_budgets(have: dict[str, int], targets: list[tuple[str, float, int]]) ->
     return {s: min(most, int(total * share / whole)) for s, share, most in usable}
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, tokenizer: str, seed: int = 7, window: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, targets: DataFrame, vocabulary: bytes, pattern: str, seed: int = 7, window: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """Draw documents so that each source makes up its share of the total size. Returns (draws, report).
 
     ``docs``: ``doc_id, text, source``; ``targets``: ``source_name, target_share, max_repeats``. Draws: ``doc_id,
     source, n_tokens, copies`` of every document used; ``copies`` is never above ``max_repeats``. Report, one row for
     each source on either side: ``source, target_share, actual_share, n_docs_used, n_tokens_used, max_copies``. Shares
     and caps that are null or not above 0 draw nothing; a repeated target counts once, with its largest share.
-    Documents without a source or tokens are never drawn. Without documents or targets no draws come out.
+    ``vocabulary`` and ``pattern`` are those of a byte-level tokenizer. Documents without a source or tokens are never
+    drawn. Without documents or targets no draws come out.
 
     The total is the largest at which every target source that has documents can still give its share. Each source
     first gives all its documents as many times as they fit. For what then remains of its budget, documents come in
     an order seeded by their id, until less than ``window`` tokens are missing; the lengths that fill those are found by
     dynamic programming over the exact length counts of the documents that follow, and filled in the same order. What
-    reaches the driver are the token sums per source and the length counts within twice the window, never documents.
+    reaches the driver, and goes out again by broadcast, are the token sums per source and hash range, of which there
+    are 4,096, and the length counts within twice the window: bounded by the number of target sources, never documents.
     """
     spark = docs.sparkSession
-    sized = written(with_token_counts(docs, tokenizer), "sizes").where("source is not null and n_tokens > 0")
+    sized = written(with_token_counts(docs, vocabulary, pattern), "sizes").where("source is not null and n_tokens > 0")
     want = targets.where("source_name is not null").groupBy("source_name").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("source_name", "t.*")
     goals = [(r["source_name"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in want.collect()]
     named = sized.join(F.broadcast(want.select(F.col("source_name").alias("source"))), "source", "left_semi")

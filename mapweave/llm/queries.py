@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from mapweave.llm import leakage, mixing, sentences, terms
 from mapweave.session import table
 
-TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizers' vocabulary files
+# Fixed value: how the public byte-level vocabularies part texts, as the notes beside their files give it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def tokenizer_file(spark: SparkSession | None = None, name: str = "byte_bpe_multi_50k.tiktoken") -> str:
+    """Path of a vocabulary file on the driver: in the folder that ``spark.mapweave.tokenizers`` names, or where the files usually lie."""
+    usual = "/opt/tokenizers"
+    return os.path.join(spark.conf.get("spark.mapweave.tokenizers", usual) if spark else usual, name)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +37,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _mix(spark: SparkSession, d: str):
     docs = table(spark, d, "documents", "doc_id", "text", "source")
-    return mixing.mix_sources(docs, table(spark, d, "mix_targets"), os.path.join(TOKENIZERS, "byte_bpe_multi_50k.tiktoken"))
+    with open(tokenizer_file(spark), "rb") as f:
+        return mixing.mix_sources(docs, table(spark, d, "mix_targets"), f.read(), PATTERN)
 
 
 def p9_mix_draws(spark: SparkSession, d: str) -> DataFrame:
