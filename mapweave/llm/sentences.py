@@ -8,7 +8,9 @@ at all (a terminator with what closes after it; in scripts without punctuation a
 over those, the others being inside whatever the model says.
 
 The model is trained where it is used, on list items: an item is one sentence, so in items put one after another every
-joint is an end and every other place is not. No lists of abbreviations are needed for any language.
+joint is an end and every other place is not. No lists of abbreviations are needed for any language. For scripts that
+end sentences without a mark the items are stripped of all punctuation first, so that what is learnt there are the
+letters on both sides and not marks that happen to stand near.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.llm import tex
@@ -182,7 +184,8 @@ def candidates(masked: str, block: Block) -> list[Candidate]:
             if not thai or stack:
                 continue
             end, after = m.start(), m.end()
-            out.append(Candidate(lo + end, ["T", "T" + _shape((_WORD_AFTER.match(back, size - end) or [""])[0][::-1]), "T>" + _shape((_WORD_AFTER.match(text, after) or [""])[0])]))
+            w1, w3 = (_WORD_AFTER.match(back, size - end) or [""])[0][::-1], (_WORD_AFTER.match(text, after) or [""])[0]
+            out.append(Candidate(lo + end, ["T", "T" + _shape(w1), "T>" + _shape(w3), "T<" + w1[-2:], "T+" + w3[:2]]))
             continue
         end, closed, opener = m.end(), 0, -1
         while i < n and stack and marks[i][0] == stack[-1][0] and all(c in " \xa0 ~\x05\x06" for c in text[end : marks[i].start()]) and (end == marks[i].start() or text[end] in _SHUT or marks[i][0] == "»"):
@@ -287,10 +290,20 @@ def train(chains: list[tuple[list[list[str]], list[int]]], rounds: int = 6) -> C
     return ChainModel({f: w for f, w in weights.items() if abs(w) > 1e-3}, [w - s / step for w, s in zip(model.pairs, pair_sums)])
 
 
+_PUNCTUATION = re.compile(r"[^\w\s\u0e00-\u0e7f\ue001-\ue004\x02-\x06]")
+
+
+def stripped(items: list[str]) -> list[str]:
+    """Items of a script without sentence marks, without any punctuation; others as they are."""
+    if len(_THAI.findall("".join(items))) * 3 <= sum(map(len, items)):
+        return items
+    return [x for x in (_PUNCTUATION.sub("", i).strip() for i in items) if x]
+
+
 def item_chains(text: str) -> Iterator[tuple[list[list[str]], list[int]]]:
     """Training chains of one document: its list items one after another, with the joints as the ends."""
     masked, blocks = mask(text)
-    items = [masked[b.start : b.end] for b in blocks if b.is_item]
+    items = stripped([masked[b.start : b.end] for b in blocks if b.is_item])
     for shift in range(2):
         row = items[shift:] + items[:shift]
         if not row:
@@ -337,15 +350,20 @@ def sentence_units(docs: DataFrame, doc_id: str, text: str, train_docs: int = 20
     texts are read whole; repeated documents give their rows again.
 
     The model is fitted on the list items of at most ``train_docs`` documents, those first by a hash of their id among
-    the five times as many that a hash threshold lets through, so it does not depend on how the table is cut up; without
-    list items it keeps its prior. Everything else covers all
-    documents and needs no shuffle.
+    the five times as many that a hash threshold lets through, and of at most a quarter as many with a script that ends
+    sentences without marks, which are rare, among fifty times as many; so it does not depend on how the table is cut
+    up. Without list items it keeps its prior. Everything else covers all documents and needs no shuffle.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # A hash threshold first, so that each task sends on its share of the sample and not a whole one.
-    share = min(1.0, 5 * train_docs / max(1, rows.select("doc_id").count()))
+    n = max(1, rows.select("doc_id").count())
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sample = rows.where((drawn < int(share * (1 << 30))) & F.contains("text", F.lit("\\item "))).withColumn("h", drawn).orderBy("h", "doc_id").limit(train_docs)
+
+    def first(n_docs: int, among: int, test: Column) -> DataFrame:
+        few = rows.where((drawn < int(min(1.0, among * n_docs / n) * (1 << 30))) & F.contains("text", F.lit("\\item ")) & test)
+        return few.withColumn("h", drawn).orderBy("h", "doc_id").limit(n_docs)
+
+    sample = first(train_docs, 5, F.lit(True)).unionByName(first(max(1, train_docs // 4), 200, F.rlike("text", F.lit("[\u0e00-\u0e7f]"))))
     spark = docs.sparkSession
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
