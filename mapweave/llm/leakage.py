@@ -4,7 +4,8 @@ Texts are compared as streams of letters and digits: markup gone, macros and acc
 else left out, so that spacing, punctuation and line breaks, even within a word, do not matter. Of a stream's k-gram
 hashes the least one of each window of w is kept (winnowing): whatever two texts share over k + w - 1 characters, they
 share a kept hash. Documents' kept hashes are joined with the items'; each hit is extended to both sides and counts
-if it covers enough whole words of the item.
+if it covers enough whole words of the item. Before the join, hashes that no item has are dropped by a filter of fixed
+size, so of a large corpus only the documents that may hold something go on, with their streams.
 """
 
 from __future__ import annotations
@@ -13,17 +14,22 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.llm import tex
+from mapweave.session import fresh_path, written
 
 MIN_WORDS, MIN_CHARS = 12, 24
-BROADCAST_BYTES = 32_000_000  # items' fingerprints above this are joined by shuffle
+_SHARE = 1000  # items that one row of the last step may name
+FILTER_BITS = 26  # the filter of the items' hashes has 2**26 bits, 8 MB, however many items there are
 
 _NOISE = re.compile(
     r"\\(?:[A-Za-z]*cite[A-Za-z]*|[A-Za-z]*ref|label|url|bibitem|input|include|includegraphics|vspace|hspace)\*?\s*(?:\[[^\]]*\]\s*)*\{[^{}]*\}"
@@ -134,47 +140,25 @@ def kept_hashes(stream: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-class ItemIndex:
-    """The items' kept hashes, for look-up, and the items to extend hits in."""
-
-    def __init__(self, items: list[Item], k: int, w: int):
-        self.items, self.k, self.w = items, k, w
-        kept = [kept_hashes(it.stream, k, w) for it in items]
-        hashes = np.concatenate([np.zeros(0, np.uint64), *[h for _, h in kept]])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.item = np.concatenate([np.zeros(0, np.int64), *[np.full(len(h), i) for i, (_, h) in enumerate(kept)]])[order]
-        self.at = np.concatenate([np.zeros(0, np.int64), *[p for p, _ in kept]])[order]
-
-    def leaked(self, stream: str) -> set[int]:
-        """Ids of the items of which the stream holds enough units in a row."""
-        at, h = kept_hashes(stream, self.k, self.w)
-        low = np.searchsorted(self.hashes, h, "left")
-        hit = low < len(self.hashes)
-        hit[hit] = self.hashes[low[hit]] == h[hit]
-        if not hit.any():
-            return set()
-        at, low, high = at[hit], low[hit], np.searchsorted(self.hashes, h[hit], "right")
-        n = high - low
-        each = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, shift = self.item[each], np.repeat(at, n) - self.at[each]
-        # One extension per item and diagonal and stretch: hits that follow closely on another lie in its stretch.
-        order = np.lexsort((self.at[each], shift, item))
-        found: set[int] = set()
-        last = (-1, 0, 0)
-        for i, d, p in zip(item[order].tolist(), shift[order].tolist(), self.at[each][order].tolist()):
-            it = self.items[i]
-            if it.item_id in found or (last[0] == i and last[1] == d and p < last[2]):
-                continue
-            a = b = p
-            while a > 0 and a + d > 0 and it.stream[a - 1] == stream[a + d - 1]:
-                a -= 1
-            while b < len(it.stream) and b + d < len(stream) and it.stream[b] == stream[b + d]:
-                b += 1
-            last = (i, d, b)
-            if covered(it, a, b) >= it.need:
-                found.add(it.item_id)
-        return found
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def leaks(item: Item, texts: list[np.ndarray], lines: list[tuple[int, int]]) -> bool:
+    """Whether along one of the diagonals (which text, place in it less place in the item) enough units stand in a row.
+
+    Along a diagonal hits are extended to both sides all at once: these are the runs of characters that agree.
+    """
+    own = _codes(item.stream)
+    for side, shift in lines:
+        other = texts[side]
+        low, high = max(0, -shift), min(len(own), len(other) - shift)
+        same = np.zeros(max(0, high - low) + 2, np.int8)
+        same[1:-1] = own[low:high] == other[low + shift : high + shift]
+        edge = np.flatnonzero(np.diff(same)) + low
+        if any(covered(item, a, b) >= item.need for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())):
+            return True
+    return False
 
 
 def window_sizes(shortest: int, k: int = 14) -> tuple[int, int]:
@@ -187,69 +171,132 @@ def shortest_leak(items: list[Item]) -> int:
     return min((it.ends[i + it.need - 1] - it.starts[i] for it in items for i in range(len(it.ends) - it.need + 1)), default=MIN_CHARS)
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
-    """``doc_id, item_id`` of each document that holds a leaked run of an item, anywhere, comments included.
+def _least_shared(item: Item, k: int, w: int) -> int:
+    runs = (item.stream[item.starts[i] : item.ends[i + item.need - 1]] for i in range(len(item.ends) - item.need + 1))
+    return max(1, min((len(kept_hashes(run, k, w)[0]) for run in runs), default=1))
 
-    A run is ``MIN_WORDS`` successive words of the item, or ``MIN_CHARS`` successive characters and digits where the
-    item is mostly Chinese. Items with fewer units cannot leak; null and empty texts hold nothing; repeated rows of an
-    item count once, and repeated documents give their rows again. Whole texts are read, whatever their length.
 
-    Items are a stated query set. While their texts stay under ``BROADCAST_BYTES`` their fingerprints go to every task
-    and the documents are read once, without a shuffle. A larger set is joined to the documents' fingerprints by
-    shuffle, each pair of a document and an item at most once, and the pairs are then extended beside their texts.
+def _prints(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
+    """``item, h, at, need`` of all kept hashes of the items: need is how many of them any leak of the item shares.
+
+    What winnowing keeps of a run by itself it keeps in every text that holds the run, at the same places of it, so all
+    of that is shared, and lies on one diagonal; the run of the item with the fewest of them counts.
     """
-    spark = docs.sparkSession
-    wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("item_text")).distinct()
-    size = wanted.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
-    if size > BROADCAST_BYTES:
-        return _by_shuffle(docs, wanted, doc_id, text)
-    parsed = [item_units(r["item_id"], r["item_text"]) for r in wanted.collect()]
-    index = spark.sparkContext.broadcast(ItemIndex(parsed, *window_sizes(shortest_leak(parsed))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list[int]] = [[], []]
-            for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = set().union(*map(index.value.leaked, streams(body))) if body else ()
-                out[0] += [doc] * len(ids)
-                out[1] += sorted(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "item_id"])
+    for b in batches:
+        parsed = [item_units(0, t) for t in b.column("item_text").to_pylist()]
+        kept = [kept_hashes(it.stream, k, w) for it in parsed]
+        n = [len(h) for _, h in kept]
+        need = np.repeat([_least_shared(it, k, w) for it in parsed], n).astype(np.int64)
+        at, hashes = (np.concatenate([np.zeros(0, np.int64), *[x[i].view(np.int64) for x in kept]]) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([b.column("item").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(hashes), pa.array(at), pa.array(need)], names=["item", "h", "at", "need"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, item_id bigint")
 
+def _places(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """The bits of the filter that stand for each hash: three numbers of ``size`` bits out of it."""
+    h = h.view(np.uint64)
+    return [(h << np.uint64(left) >> np.uint64(64 - size)).astype(np.int64) for left in (0, 19, 38)]
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``leaked_items`` for item sets of any size. Fingerprints use the fewest characters a leak of any item can have."""
 
-    def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_filter(prints: DataFrame, size: int) -> np.ndarray:
+    """The bits of all hashes of ``h``, put together by the engine's own bitmaps; at most 2**size of them."""
+    per = 1 << 15
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            least = [shortest_leak([item_units(0, t)]) for t in b.column("item_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(b.column("h").to_numpy(), size)))], names=["at"])
+
+    rows = prints.select("h").mapInArrow(places, "at bigint").select(F.shiftright("at", 15).alias("part"), F.pmod("at", F.lit(per)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros(1 << size - 3, np.uint8)
+    for r in rows:
+        out[r["part"] * (per // 8) : (r["part"] + 1) * (per // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
-    n = items.mapInArrow(shortest, "n bigint").agg(F.min("n")).first()[0] or MIN_CHARS
-    k, w = window_sizes(n)
 
-    def prints(make, id_name: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids, hashes = [], []
-                for own, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    kept = np.unique(np.concatenate([np.zeros(0, np.uint64), *[kept_hashes(s, k, w)[1] for s in make(body or "")]]))
-                    ids.append(np.full(len(kept), own, np.int64))
-                    hashes.append(kept.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (ids, hashes)], names=[id_name, "h"])
+def _passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places in ``hashes`` of those that the filter lets through."""
+    left = np.arange(len(hashes))
+    for place in _places(hashes, len(bits).bit_length() + 2):
+        place = place[left]
+        left = left[bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1]
+    return left
 
-        return run
 
-    bodies = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    left = bodies.mapInArrow(prints(streams, "doc_id"), "doc_id bigint, h bigint")
-    right = items.mapInArrow(prints(lambda t: [item_units(0, t).stream], "item_id"), "item_id bigint, h bigint")
-    pairs = left.join(right, "h").select("doc_id", "item_id").distinct()
+def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``doc_id, item_id`` of each document that holds a leaked run of an item, anywhere, comments included; distinct.
+
+    A run is ``MIN_WORDS`` successive words of the item, or ``MIN_CHARS`` successive characters and digits where the
+    item is mostly Chinese. Items with fewer units cannot leak; null and empty texts hold nothing; rows without an id
+    are left out; of an id that stands on several rows, document or item, each text counts. Whole texts are read,
+    whatever their length. Empty tables give an empty result.
+
+    Documents are read and fingerprinted once, without a shuffle. Those with a hash that passes the items' filter go on,
+    with such hashes and their streams, into a table in the shared folder; of foreign hashes the filter lets through about
+    the cube of the share of its bits that the items' hashes take. The hashes are joined with the items'; pairs of a document and an item that
+    have as many of them on one diagonal as any leak has are verified, each once, beside the document's streams.
+    """
+    spark = docs.sparkSession
+    wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("item_text")).distinct()
+    item_path = fresh_path(spark, "items")
+    wanted = written(wanted.withColumn("item", F.monotonically_increasing_id()), "items", item_path)
+
+    def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shortest_leak([item_units(0, t)]) for t in b.column("item_text").to_pylist()], pa.int64())], names=["n"])
+
+    # The fewest characters that a leak of any item can have sets the windows of all.
+    k, w = window_sizes(wanted.mapInArrow(shortest, "n bigint").agg(F.min("n")).first()[0] or MIN_CHARS)
+    prints = written(wanted.select("item", "item_text").mapInArrow(lambda batches: _prints(batches, k, w), "item bigint, h bigint, at bigint, need bigint"), "prints")
+    known = spark.sparkContext.broadcast(_item_filter(prints, filter_bits))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = streams(body) if body else []
+                hits = []
+                for at, h in (kept_hashes(s, k, w) for s in own):
+                    left = _passing(h, bits)
+                    hits.append((h[left].view(np.int64), at[left]))
+                if any(len(h) for h, _ in hits):
+                    side = np.repeat(np.arange(len(hits)), [len(h) for h, _ in hits])
+                    for a, v in zip(out, (doc, *map(np.concatenate, zip(*hits)), side, own)):
+                        a.append(v)
+            kinds = (pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["doc_id", "h", "place", "side", "streams"])
+
+    bodies = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    met = bodies.mapInArrow(meet, "doc_id bigint, h array<bigint>, place array<bigint>, side array<bigint>, streams array<string>")
+    met = written(met.withColumn("doc", F.monotonically_increasing_id()), "met")
+    hits = met.select("doc", F.explode(F.arrays_zip("h", "place", "side")).alias("z")).select("doc", "z.*").join(prints, "h")
+    shift = (F.col("place") - F.col("at")).alias("shift")
+    lines = hits.groupBy("doc", "item", "side", shift).agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need")
+    # A document goes on once, beside the diagonals of up to ``_SHARE`` items, and not once with each item.
+    share = F.floor(F.col("item") / _SHARE).alias("share")
+    groups = lines.groupBy("doc", share).agg(F.collect_list(F.struct("item", "side", "shift")).alias("lines"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [bool(set().union(*map(ItemIndex([item_units(i, t)], k, w).leaked, streams(body)))) for body, i, t in zip(*[b.column(c).to_pylist() for c in ("text", "item_id", "item_text")])]
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("doc_id", "item_id")], names=["doc_id", "item_id"])
+            out: list[list[int]] = [[], []]
+            for doc, own, lines in zip(*[b.column(c).to_pylist() for c in ("doc_id", "streams", "lines")]):
+                by_item: dict[int, list[tuple[int, int]]] = {}
+                for x in lines:
+                    by_item.setdefault(x["item"], []).append((x["side"], x["shift"]))
+                codes = [_codes(s) for s in own]
+                items = _items(item_path, min(by_item) // _SHARE)
+                found = {items[i].item_id for i, at in by_item.items() if leaks(items[i], codes, at)}
+                out[0] += [doc] * len(found)
+                out[1] += sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "item_id"])
+
+    beside = groups.join(met.select("doc", "doc_id", "streams"), "doc").select("doc_id", "streams", "lines")
+    return beside.mapInArrow(verify, "doc_id bigint, item_id bigint").distinct()
+
 
-    met = pairs.join(items, "item_id").join(bodies.where("text is not null"), "doc_id").select("doc_id", "text", "item_id", "item_text")
-    return met.mapInArrow(verify, "doc_id bigint, item_id bigint")
+@lru_cache(maxsize=64)
+def _items(path: str, share: int) -> dict[int, Item]:
+    """The items of one share by their numbers, out of the table in the shared folder."""
+    where, inner = fs.FileSystem.from_uri(path)
+    at = ds.field("item")
+    rows = ds.dataset(inner, filesystem=where, format="parquet").to_table(filter=(at >= share * _SHARE) & (at < (share + 1) * _SHARE))
+    return {r["item"]: item_units(r["item_id"], r["item_text"]) for r in rows.to_pylist()}

@@ -13,6 +13,7 @@ LETTERS = {"ss": "ß", "SS": "ẞ", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "
 _LETTER = re.compile(r"\{\\(" + "|".join(sorted(LETTERS, key=len, reverse=True)) + r")\s*\}|\\(" + "|".join(sorted(LETTERS, key=len, reverse=True)) + r")(?![A-Za-z])(?:\{\}|[ \t]*(?:\n(?!\s*\n)[ \t]*)?(?=[^\W\d_])|\\ |)")
 _ACCENT = re.compile(r"\\(?:([`'^~=.\"])\s*|([uvHrckdb])(?![A-Za-z])\s*)(?:\{\s*([^\W\d_])\s*\}|([^\W\d_]))")
 _DEFINE = re.compile(r"\\(?:(?:re)?newcommand|providecommand|DeclareRobustCommand)\*?\s*(?:\{\s*\\([A-Za-z@]+)\s*\}|\\([A-Za-z@]+))\s*\{((?:[^{}]|\{[^{}]*\})*)\}|\\[gx]?def\s*\\([A-Za-z@]+)\s*\{((?:[^{}]|\{[^{}]*\})*)\}")
+_GROWTH = 16
 _BRACED_ACCENT = re.compile(r"\{([^\W\d_][\u0300-\u036f]?)\}")
 
 
@@ -36,13 +37,18 @@ def definitions(text: str) -> dict[str, str]:
 
 
 def expand(text: str, macros: dict[str, str]) -> str:
-    """The text's own macros replaced by what they stand for; the space that ends a macro's name goes with it."""
-    for _ in range(3):
-        if not macros:
-            break
-        use = re.compile(r"\\(" + "|".join(sorted(map(re.escape, macros), key=len, reverse=True)) + r")(?![A-Za-z@])(?:\{\}|\\(?=\s))?")
+    """The text's own macros replaced by what they stand for; the space that ends a macro's name goes with it.
+
+    Macros within macros are replaced in turn, as many deep as there are macros, which a macro that holds itself would
+    go beyond. A text that grows past ``_GROWTH`` times its length on the way is left as it is then.
+    """
+    if not macros:
+        return text
+    use = re.compile(r"\\(" + "|".join(sorted(map(re.escape, macros), key=len, reverse=True)) + r")(?![A-Za-z@])(?:\{\}|\\(?=\s))?")
+    most = len(text) * _GROWTH + 10_000
+    for _ in macros:
         new = use.sub(lambda m: macros[m[1]], text)
-        if new == text:
+        if new == text or len(new) > most:
             break
         text = new
     return text
