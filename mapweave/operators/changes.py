@@ -81,3 +81,8 @@ def aligned(files: list[DataFrame]) -> DataFrame:
         df = df.withColumn("file_idx", F.lit(i))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out.repartitionByRange("tile").sortWithinPartitions("tile", "file_idx", "kind", "id")
+
+
+def latest_time(changes: DataFrame, time: str = "ts") -> DataFrame:
+    """``latest``: the greatest time of a change set, 0 for one without any; its end date. One row."""
+    return changes.agg(F.coalesce(F.max(F.col(time).cast("bigint")), F.lit(0).cast("bigint")).alias("latest"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from mapweave.functions import boxes
 from mapweave.functions import quadtree as qt
 from mapweave.sources.style import Style
 
@@ -104,6 +105,22 @@ def way_coordinates(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return ways.join(lines, "id").where(F.size("coords") == F.size("refs"))
 
 
+def relevant_elements(nodes: DataFrame, ways: DataFrame, relations: DataFrame, box: tuple[int, int, int, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What geometries can come of, before any are made: (nodes, ways, relations) with the columns they had.
+
+    Nodes (``tags`` a map, ``lon, lat``) with tags, within the box; ways (``coords``) whose own box meets it; relations
+    that are boundaries, multipolygons or routes by their ``type``. Null tags are none.
+    """
+    tagged = nodes.where(F.coalesce(F.size("tags"), F.lit(0)) > 0)
+    kept = relations.where(F.coalesce(F.col("tags")["type"].isin("boundary", "multipolygon", "route"), F.lit(False)))
+    if box is None:
+        return tagged, ways, kept
+    area = boxes.box(*box)
+    side = lambda f, c: f(F.transform("coords", lambda p: p[c]))
+    own = boxes.box(side(F.array_min, "lon"), side(F.array_min, "lat"), side(F.array_max, "lon"), side(F.array_max, "lat"))
+    return tagged.where(boxes.contains_xy(area, F.col("lon"), F.col("lat"))), ways.where(boxes.intersects(own, area)), kept
+
+
 def _xy(p: Column) -> tuple[Column, Column]:
     m = qt.mercator(p["lon"] / 1e7, p["lat"] / 1e7)
     return m["x"], m["y"]

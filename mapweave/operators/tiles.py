@@ -204,3 +204,22 @@ def group_blocks(elements: DataFrame, size: int) -> DataFrame:
 def attach_tiles(elements: DataFrame, tiles: DataFrame) -> DataFrame:
     """Elements with the ``qt`` of their (kind, id); elements without one are left out, and so are tiles without an element."""
     return elements.drop("qt").join(tiles.select("kind", "id", "qt"), ["kind", "id"])
+
+
+def tile_tree(tiles: DataFrame) -> DataFrame:
+    """``qt, parent`` of the distinct tiles of a table: the deepest other of them that holds the tile, null for a root.
+
+    Null tiles and -1 are left out. Matched by equality on ancestors, at most 28 rows a tile.
+    """
+    own = tiles.where("qt >= 0").select("qt").distinct()
+    up = own.select("qt", F.explode(qt.ancestors(F.col("qt"))).alias("tile")).where("tile <> qt")
+    found = up.join(own.select(F.col("qt").alias("tile")), "tile").groupBy("qt").agg(F.max_by("tile", qt.depth(F.col("tile"))).alias("parent"))
+    return own.join(found, "qt", "left")
+
+
+def write_quadtrees(elements: DataFrame, path: str, block: int = 8000) -> None:
+    """Block files of ``kind, id, qt`` alone, in (kind, id) order, blocks of ``block`` elements; a file for every task.
+
+    ``sources.datasource.register`` must have been called.
+    """
+    by_id(elements.select(F.col("kind").cast("tinyint").alias("kind"), "id", "qt")).write.format("mapblocks").option("parts", "true").option("blockSize", str(block)).mode("append").save(path)

@@ -18,18 +18,24 @@ def packed_id(kind, id_):
     return F.shiftleft(kind.cast("bigint"), 59).bitwiseOR(id_)
 
 
-def append_locations(index_path: str, elements: DataFrame, file_idx: int) -> None:
-    """Adds the tiles of a file's elements (``kind, id, tile`` and, in change files, ``change``) to the index.
-
-    A deleted element is gone; one that only left a tile (Remove) says nothing, its new tile having a row of its own.
-    """
-    rows = elements
-    tile = F.col("tile")
+def _location_rows(elements: DataFrame, *more: str) -> DataFrame:
+    """``packed, tile``: a deleted element is gone; one that only left a tile (Remove) says nothing, its new tile having a row of its own."""
+    rows, tile = elements, F.col("tile")
     if "change" in elements.columns:
         rows = rows.where(F.col("change") != ch.REMOVE)
         tile = F.when(F.col("change") == ch.DELETE, GONE).otherwise(tile).cast("bigint")
-    rows = rows.select(packed_id(F.col("kind"), F.col("id")).alias("packed"), tile.alias("tile"))
-    rows.repartitionByRange("packed").sortWithinPartitions("packed").write.mode("overwrite").parquet(f"{index_path}/file_idx={file_idx}")
+    return rows.select(packed_id(F.col("kind"), F.col("id")).alias("packed"), tile.alias("tile"), *more)
+
+
+def append_locations(index_path: str, elements: DataFrame, file_idx: int) -> None:
+    """Adds the tiles of a file's elements (``kind, id, tile`` and, in change files, ``change``) to the index."""
+    _location_rows(elements).repartitionByRange("packed").sortWithinPartitions("packed").write.mode("overwrite").parquet(f"{index_path}/file_idx={file_idx}")
+
+
+def append_location_files(index_path: str, elements: DataFrame) -> None:
+    """As ``append_locations`` for many files in one pass; their numbers are in ``file_idx``."""
+    rows = _location_rows(elements, "file_idx").repartitionByRange("file_idx", "packed").sortWithinPartitions("file_idx", "packed")
+    rows.write.mode("append").partitionBy("file_idx").parquet(index_path)
 
 
 def read_locations(spark: SparkSession, index_path: str) -> DataFrame:

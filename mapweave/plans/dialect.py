@@ -458,7 +458,7 @@ class Lowering:
             n = F.when(start == 0, n - 1).otherwise(n)
             start = F.when(start == 0, F.lit(1)).otherwise(start)
             fits = (start >= 1) & (n > 0) & (start + n - 1 <= F.octet_length(s))
-            return Typed("S", F.when(fits, F.decode(F.substring(s.cast("binary"), start.cast("int"), n.cast("int")), "utf-8")))
+            return Typed("S", F.when(fits, F.make_valid_utf8(F.substring(s.cast("binary"), start.cast("int"), n.cast("int")).cast("string"))))
         if name == "concat":
             return self.joined(args)
         return _null()

@@ -107,13 +107,23 @@ def qt_string(spark, d):
     return rows.withColumn("back", F.coalesce(qt.from_letters(F.col("s")), F.lit(-1)).cast("bigint"))
 
 
-@query(f"with {_N} select id, round(lon / 1e7 * 20037508.3428 / 180, 4) as x, round(ln(tan(pi() * (1 + (lat / 1e7) / 90) / 4)) * 20037508.3428 / pi(), 3) as y from n where abs(lat) < 890000000")
+# Beyond 89 degrees, where the projection runs off, metres are compared to a thousand only, at the poles not at all.
+_MERC_Y = "ln(tan(pi() * (1 + (lat / 1e7) / 90) / 4)) * 20037508.3428 / pi()"
+
+
+@query(f"with {_N} select id, round(lon / 1e7 * 20037508.3428 / 180, 4) as x, case when abs(lat) < 890000000 then round({_MERC_Y}, 3) when abs(lat) < 899999000 then round({_MERC_Y} / 1000) * 1000 end as y from n")
 def mercator(spark, d):
     m = qt.mercator(F.col("lon") / 1e7, F.col("lat") / 1e7)
-    return nodes(spark, d).where(F.abs("lat") < 890_000_000).select("id", F.round(m["x"], 4).alias("x"), F.round(m["y"], 3).alias("y"))
+    y = F.when(F.abs("lat") < 890_000_000, F.round(m["y"], 3)).when(F.abs("lat") < 899_999_000, F.round(m["y"] / 1000) * 1000)
+    return nodes(spark, d).select("id", F.round(m["x"], 4).alias("x"), y.alias("y"))
 
 
-@query()
+_LAT = "(atan(exp((90 - {y} * 180 / p) * pi() / 90)) * 4 / pi() - 1) * 90"
+_COL = " + ".join(f"((qt >> (61 - 2 * {i})) & 1) * (case when (qt & 31) > {i} then 1::bigint << ((qt & 31) - 1 - {i}) else 0 end)" for i in range(19))
+_ROW = " + ".join(f"((qt >> (62 - 2 * {i})) & 1) * (case when (qt & 31) > {i} then 1::bigint << ((qt & 31) - 1 - {i}) else 0 end)" for i in range(19))
+
+
+@query(f"with t as (select distinct qt from full_nodes where qt >= 0), u as (select qt, {_COL} as x, {_ROW} as y, pow(2.0, qt & 31) as p from t) select qt, round((x * 360 / p - 180) * 1e7)::bigint as minx, round({_LAT.format(y='(y + 1)')} * 1e7)::bigint as miny, round(((x + 1) * 360 / p - 180) * 1e7)::bigint as maxx, round({_LAT.format(y='y')} * 1e7)::bigint as maxy from u")
 def qt_bounds(spark, d):
     rows = table(spark, d, "full_nodes", "qt").where("qt >= 0").distinct()
     return rows.select("qt", qt.bounds(F.col("qt")).alias("b")).select("qt", "b.*")
@@ -133,8 +143,9 @@ def element_quadtrees(spark, d):
 @query(f"with {_N}, {_W}, x as (select distinct id, unnest(refs) as node from w), g as (select node, min(qt) as lo, max(qt) as hi from x join w on w.id = x.id where w.qt >= 0 group by node) select n.id as node, {_common_sql('lo', 'hi')} as qt from n join g on g.node = n.id")
 def node_qt_from_ways(spark, d):
     w = ways(spark, d)
-    used = tiles.way_nodes(w).select("way", "node").distinct().join(w.select(F.col("id").alias("way"), "qt"), "way")
-    return used.groupBy("node").agg(qt.common_agg(F.col("qt")).alias("qt")).where("qt is not null").join(nodes(spark, d).select(F.col("id").alias("node")), "node", "left_semi")
+    placed = w.where("qt >= 0").select(F.col("id").alias("way"), "qt")
+    on = tiles.way_nodes(w).join(placed, "way", "left_semi").select("node").distinct()
+    return tiles.node_tiles(nodes(spark, d), w, placed).join(on, "node", "left_semi")
 
 
 @query(f"""with recursive {_N}, {_W}, {_R}, {_M},
@@ -235,7 +246,7 @@ def change_as_normal(spark, d):
     return ch.as_normal(ch.last_in_file(_feed(spark, d))).select("kind", "id", "vs")
 
 
-@query(f"with b as ({_B}), t as (select 0 as kind, id, max(qt) as qt from full_nodes where qt >= 0 group by id) select b.kind, b.id, b.vs, t.qt from b join t on t.kind = b.kind and t.id = b.id")
+@query(f"with b as ({_B}), t as (select 0 as kind, id, max(qt) as qt from full_nodes where qt >= 0 group by id union all select 1, id, max(qt) from full_ways where qt >= 0 group by id union all select 2, id, max(qt) from full_relations where qt >= 0 group by id) select b.kind, b.id, b.vs, t.qt from b join t on t.kind = b.kind and t.id = b.id")
 def attach_qt(spark, d):
     every = [table(spark, d, t, "id", "qt").where("qt >= 0").groupBy("id").agg(F.max("qt").alias("qt")).select(F.lit(k).alias("kind"), "id", "qt") for k, t in enumerate(("full_nodes", "full_ways", "full_relations"))]
     return tiles.attach_tiles(_base(spark, d), every[0].union(every[1]).union(every[2])).select("kind", "id", "vs", "qt")
@@ -309,12 +320,19 @@ def way_coords(spark, d):
     return rows.select("id", F.transform("coords", lambda p: p["lon"]).alias("lons"), F.transform("coords", lambda p: p["lat"]).alias("lats"))
 
 
-@query()
+_ANYRANK = "case hw " + " ".join(f"when '{k}' then {v}" for k, v in geometry.HIGHWAY_RANK.items()) + " end"
+_HW = "list_filter(tags, lambda e: e.k = 'highway')"
+
+
+@query(f"""with {_N}, {_W}, g as (select id, tags from (select *, row_number() over (partition by id order by vs desc, ts desc) as k from full_nodes) where k = 1),
+ h as (select n.id from n join g on g.id = n.id where len({_HW}) > 0), x as (select {_HW}[-1].v as hw, unnest(refs) as node from w where len({_HW}) > 0),
+ c as (select node, hw, count(*) as n from x where node is not null group by all), r as (select *, {_ANYRANK} as rank from c join h on h.id = c.node)
+ select id, arg_min(hw, (-coalesce(rank, 0), case when hw like '%link' then 1 else 0 end, case when rank is null then -n else 0 end, hw)) as parent_highway from r group by id""")
 def parent_highway(spark, d):
     return geometry.node_parent_highways(_nodes_with_tags(spark, d), _tagged(ways(spark, d)))
 
 
-@query(f"with {_R}, {_M}, v as (select id, list_filter(tags, lambda e: e.k = 'maxspeed')[1].v as s from r where len(list_filter(tags, lambda e: e.k = 'maxspeed')) = 1) select mem_ref as way, string_agg(distinct s, ';' order by s) as routes from m join v on v.id = relation_id where mem_type = 1 and mem_ref is not null group by mem_ref having string_agg(distinct s, ';' order by s) is not null")
+@query(f"with {_R}, {_M}, v as (select id, list_filter(tags, lambda e: e.k = 'maxspeed')[-1].v as s from r where len(list_filter(tags, lambda e: e.k = 'maxspeed')) >= 1) select mem_ref as way, string_agg(distinct s, ';' order by s) as routes from m join v on v.id = relation_id where mem_type = 1 and mem_ref is not null group by mem_ref having string_agg(distinct s, ';' order by s) is not null")
 def route_list(spark, d):
     found = geometry.relation_value_range(_tagged(relations(spark, d)), members(spark, d), F.lit(True), "maxspeed")
     return found.select("way", F.array_join("values", ";").alias("routes")).where(F.size("values") > 0)

@@ -6,6 +6,7 @@ run of framed blocks, the first being the header, which may hold an index of the
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -13,6 +14,8 @@ from dataclasses import dataclass, field
 from itertools import groupby
 from typing import BinaryIO
 
+from pyarrow import fs
+
 from mapweave.sources.wire import fields, message, packed, packed_deltas, signed, unpacked, unpacked_deltas, unzigzag, zigzag
 
 SCHEMA = (
@@ -177,33 +180,52 @@ def _tags(keys: bytes, values: bytes, strings: list[str]) -> list[dict]:
     return [{"k": strings[k], "v": strings[v]} for k, v in zip(unpacked(keys), unpacked(values))]
 
 
-def _single(kind: int, buf: bytes, strings: list[str], change: int) -> dict:
+# Columns that cost something to decode, and what else asks for them.
+_COSTLY = {"tags": {"tags"}, "info": {"version", "ts", "changeset", "uid", "user", "visible"}, "refs": {"refs"}, "lons": {"lons", "lats"}, "members": {"members"}, "geom": {"geom"}, "place": {"lon", "lat"}, "qt": {"qt"}}
+
+
+def wanted_parts(columns: Iterable[str] | None) -> frozenset[str]:
+    """The parts of elements to decode for these columns; all without any given."""
+    return frozenset(_COSTLY) if columns is None else frozenset(k for k, of in _COSTLY.items() if of & set(columns))
+
+
+_ALL = wanted_parts(None)
+
+
+def _single(kind: int, buf: bytes, strings: list[str], change: int, want: frozenset[str] = _ALL) -> dict:
     got = dict(fields(buf))
     number = got.get(1, 0)
-    out = {"kind": kind, "id": unzigzag(number) if kind == NODE else signed(number), "change": change, "tags": _tags(got.get(2, b""), got.get(3, b""), strings)}
-    if 4 in got:
+    out = {"kind": kind, "id": unzigzag(number) if kind == NODE else signed(number), "change": change}
+    if "tags" in want:
+        out["tags"] = _tags(got.get(2, b""), got.get(3, b""), strings)
+    if 4 in got and "info" in want:
         out |= _info(got[4], strings)
-    out["qt"] = unzigzag(got[20]) if 20 in got else _unpack_tile(got[21]) if 21 in got else -1
+    if "qt" in want:
+        out["qt"] = unzigzag(got[20]) if 20 in got else _unpack_tile(got[21]) if 21 in got else -1
     if kind == NODE:
         out["lat"], out["lon"] = unzigzag(got.get(8, 0)), unzigzag(got.get(9, 0))
     elif kind == WAY:
-        out["refs"] = unpacked_deltas(got.get(8, b""))
-        if 12 in got:
+        if "refs" in want:
+            out["refs"] = unpacked_deltas(got.get(8, b""))
+        if 12 in got and "lons" in want:
             out["lons"], out["lats"] = unpacked_deltas(got[12]), unpacked_deltas(got.get(13, b""))
-    elif kind == RELATION:
+    elif kind == RELATION and "members" in want:
         roles, refs, types = unpacked(got.get(8, b"")), unpacked_deltas(got.get(9, b"")), unpacked(got.get(10, b""))
         out["members"] = [{"type": t, "ref": r, "role": strings[s]} for t, r, s in zip(types, refs, roles)]
-    else:
+    elif kind == GEOMETRY:
         out["geom"] = got.get(8, b"")
     return out
 
 
-def _dense(buf: bytes, strings: list[str], change: int) -> Iterator[dict]:
+def _dense(buf: bytes, strings: list[str], change: int, want: frozenset[str] = _ALL) -> Iterator[dict]:
     got = dict(fields(buf))
-    ids, lats, lons = (unpacked_deltas(got.get(i, b"")) for i in (1, 8, 9))
-    infos = _dense_info(got[5], strings) if 5 in got else []
-    pairs = unpacked(got.get(10, b""))
-    if 20 in got:
+    ids = unpacked_deltas(got.get(1, b""))
+    lats, lons = (unpacked_deltas(got.get(i, b"")) if "place" in want else [None] * len(ids) for i in (8, 9))
+    infos = _dense_info(got[5], strings) if 5 in got and "info" in want else []
+    pairs = unpacked(got.get(10, b"")) if "tags" in want else []
+    if "qt" not in want:
+        tiles = []
+    elif 20 in got:
         tiles = unpacked_deltas(got[20])
     else:
         tiles = [tuple_tile(*t) for t in zip(*(unpacked_deltas(got.get(i, b"")) for i in (21, 22, 23)))]
@@ -217,8 +239,12 @@ def _dense(buf: bytes, strings: list[str], change: int) -> Iterator[dict]:
         yield {"kind": NODE, "id": number, "change": change, "lon": lons[i], "lat": lats[i], "tags": tags, "qt": tiles[i] if i < len(tiles) else -1} | (infos[i] if i < len(infos) else {})
 
 
-def read_block(data: bytes, is_change: bool = False, kinds: Iterable[int] = (NODE, WAY, RELATION, GEOMETRY)) -> tuple[dict, list[dict]]:
-    """A block's own values (tile, start_date, end_date, block_tags) and its elements, of the given kinds only."""
+def read_block(data: bytes, is_change: bool = False, kinds: Iterable[int] = (NODE, WAY, RELATION, GEOMETRY), columns: Iterable[str] | None = None) -> tuple[dict, list[dict]]:
+    """A block's own values (tile, start_date, end_date, block_tags) and its elements, of the given kinds only.
+
+    With ``columns`` only what these need is decoded.
+    """
+    want = wanted_parts(columns)
     strings, groups, block = [], [], {"tile": -1, "start_date": 0, "end_date": 0, "block_tags": []}
     keys = values = b""
     for n, v in fields(data):
@@ -242,9 +268,9 @@ def read_block(data: bytes, is_change: bool = False, kinds: Iterable[int] = (NOD
         change = next((v for n, v in parts if n == 10), 0) if is_change else 0
         for n, v in parts:
             if n == 2 and NODE in wanted:
-                out += _dense(v, strings, change)
+                out += _dense(v, strings, change, want)
             elif n in of and of[n] in wanted:
-                out.append(_single(of[n], v, strings, change))
+                out.append(_single(of[n], v, strings, change, want))
     return block, out
 
 
@@ -321,19 +347,30 @@ def write_block(elements: list[dict], tile: int = -1, start_date: int = 0, end_d
 def write_file(path: str, blocks: Iterable[tuple[int, bool, bytes]], header: Header | None = None, indexed: bool = True) -> None:
     """A file of framed blocks given as (tile, is_change, frame bytes), behind a header that indexes them if asked to.
 
-    The blocks go to a file of their own first, as the header with their lengths comes before them.
+    The blocks go to a file of their own first, as the header with their lengths comes before them. ``path`` may be on
+    any file system that pyarrow can open.
     """
-    import os
-    import shutil
-
     header = header or Header()
-    body = path + ".part"
-    with open(body, "wb") as f:
+    where, inner = place(path)
+    body = inner + ".body"
+    with where.open_output_stream(body) as f:
         for tile, is_change, data in blocks:
             f.write(data)
             if indexed:
                 header.index.append(IndexEntry(tile, len(data), is_change))
-    with open(path, "wb") as out, open(body, "rb") as f:
+    with where.open_output_stream(inner + ".part") as out, where.open_input_stream(body) as f:
         out.write(frame("OSMHeader", header.pack()))
-        shutil.copyfileobj(f, out, 1 << 20)
-    os.remove(body)
+        while piece := f.read(1 << 20):
+            out.write(piece)
+    where.move(inner + ".part", inner)
+    where.delete_file(body)
+
+
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and inner path of a path or URI."""
+    return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else os.path.abspath(path))
+
+
+def open_file(path: str) -> BinaryIO:
+    where, inner = place(path)
+    return where.open_input_file(inner)

@@ -5,12 +5,13 @@
 
 from __future__ import annotations
 
-import glob
 import gzip
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatch
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -19,10 +20,18 @@ from mapweave.sources import blockfile, changexml
 
 
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://").removeprefix("file:")
-    if os.path.isdir(path):
-        return sorted(f for f in glob.glob(os.path.join(path, "*")) if os.path.isfile(f) and not os.path.basename(f).startswith((".", "_")))
-    return sorted(glob.glob(path)) or [path]
+    """Files of a path or URI: a file, the files of a folder, or those of a pattern in the last part of the path."""
+    where, inner = blockfile.place(path)
+    scheme = path[: len(path) - len(inner)] if path.endswith(inner) and ":" in path else ""
+    info = where.get_file_info(inner)
+    if info.type == fs.FileType.File:
+        return [scheme + inner]
+    folder, pattern = (inner, "*") if info.type == fs.FileType.Directory else os.path.split(inner)
+    found = where.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    names = sorted(i.path for i in found if i.type == fs.FileType.File and fnmatch(i.base_name, pattern) and not i.base_name.startswith((".", "_")))
+    if not names:
+        raise FileNotFoundError(path)
+    return [scheme + n for n in names]
 
 
 @dataclass
@@ -62,7 +71,7 @@ class BlockReader(DataSourceReader):
         picked = {int(o) for o in offsets.split(",")} if offsets else None
         out = []
         for path in _files(self.options["path"]):
-            with open(path, "rb") as f:
+            with blockfile.open_file(path) as f:
                 header = blockfile.read_header(f)
                 if header.index:
                     every = [(e.filepos, i, "OSMChange" if e.is_change else "OSMData", e.tile) for i, e in enumerate(header.index)]
@@ -80,13 +89,13 @@ class BlockReader(DataSourceReader):
         kinds = [k for k, n in enumerate(("nodes", "ways", "relations", "geometries")) if str(self.options.get(n, "true")).lower() != "false"]
         if not partition.places:
             return
-        with open(partition.path, "rb") as f:
+        with blockfile.open_file(partition.path) as f:
             for at, number, kind in partition.places:
                 frame = next(blockfile.read_frames(f, at))
                 if frame.kind not in ("OSMData", "OSMChange"):
                     continue
                 is_change = frame.kind == "OSMChange" or partition.path.endswith(".pbfc") or str(self.options.get("change", "false")).lower() == "true"
-                block, elements = blockfile.read_block(frame.data(), is_change, kinds)
+                block, elements = blockfile.read_block(frame.data(), is_change, kinds, names)
                 block["block_idx"] = number
                 for e in elements:
                     row = block | e
@@ -101,15 +110,18 @@ class _Part(WriterCommitMessage):
 
 
 class BlockWriter(DataSourceWriter):
-    """Each task writes its blocks to a part file; commit puts the parts behind one header, in tile order.
+    """Each task writes its blocks to a part file.
 
     Rows come sorted by tile (or block), kind and id: repartition by range and sort before writing. Options: ``path``,
-    ``change``, ``tuple`` (quadtrees as x, y, z), ``plain`` (no extensions), ``indexed``, ``blockSize``.
+    ``change``, ``tuple`` (quadtrees as x, y, z), ``plain`` (no extensions), ``indexed``, ``blockSize``, ``parts``. With
+    ``parts`` the path is a folder and every task's file a whole one with a header of its own, named by the task, so
+    that nothing goes through the driver: the way to write anything large. Without, commit puts the parts behind one
+    header, in tile order: the driver copies them, and one file comes out.
     """
 
     def __init__(self, schema: StructType, options: dict):
         self.names, self.options = schema.names, options
-        self.path = options["path"].removeprefix("file://").removeprefix("file:")
+        self.path = options["path"].rstrip("/")
 
     def _on(self, key: str, default: str = "false") -> bool:
         return str(self.options.get(key, default)).lower() == "true"
@@ -118,7 +130,10 @@ class BlockWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        part = f"{self.path}.part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        part = f"{self.path}/_{name}.body" if self._on("parts") else f"{self.path}.{name}"
+        where, inner = blockfile.place(part)
+        where.create_dir(os.path.dirname(inner), recursive=True)
         size, change = int(self.options.get("blockSize", 8000)), self._on("change")
         index, first, rows, tile = [], (1, 0), [], None
 
@@ -131,7 +146,7 @@ class BlockWriter(DataSourceWriter):
             index.append((tile if tile is not None else -1, change, len(data)))
             rows.clear()
 
-        with open(part, "wb") as f:
+        with where.open_output_stream(inner) as f:
             for r in iterator:
                 e = dict(zip(self.names, r))
                 e["tags"] = [t.asDict() for t in e.get("tags") or ()]
@@ -144,36 +159,59 @@ class BlockWriter(DataSourceWriter):
                     first = (0, tile if tile is not None else -1)
                 rows.append(e)
             flush(f)
+        if self._on("parts"):
+            # Named so that it does not count before the commit.
+            whole = f"{self.path}/_{name}.pbf"
+            if index:
+                blockfile.write_file(whole, self._blocks([_Part(part, index, first)]), indexed=self._on("indexed", "true"))
+            where.delete_file(inner)
+            return _Part(whole if index else "", index, first)
         return _Part(part, index, first)
 
-    def commit(self, messages) -> None:
-        parts = sorted((m for m in messages if m is not None), key=lambda m: (m.first, m.path))
+    @staticmethod
+    def _blocks(parts: list[_Part]) -> Iterator[tuple[int, bool, bytes]]:
+        for p in parts:
+            with blockfile.open_file(p.path) as f:
+                for tile, change, length in p.index:
+                    yield tile, change, f.read(length)
 
-        def blocks():
+    def commit(self, messages) -> None:
+        parts = sorted((m for m in messages if m is not None and m.path), key=lambda m: (m.first, m.path))
+        if self._on("parts"):
             for p in parts:
-                with open(p.path, "rb") as f:
-                    for tile, change, length in p.index:
-                        yield tile, change, f.read(length)
-
-        blockfile.write_file(self.path, blocks(), indexed=self._on("indexed", "true"))
-        for p in parts:
-            os.remove(p.path)
+                where, inner = blockfile.place(p.path)
+                where.move(inner, inner.replace("/_part-", "/part-"))
+            return
+        blockfile.write_file(self.path, self._blocks(parts), indexed=self._on("indexed", "true"))
+        self.abort(parts)
 
     def abort(self, messages) -> None:
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and m.path:
+                where, inner = blockfile.place(m.path)
+                if where.get_file_info(inner).type == fs.FileType.File:
+                    where.delete_file(inner)
 
 
 class BlockSource(DataSource):
-    """Elements of block files. ``path`` is a file, a folder or a pattern; see the reader's and writer's options."""
+    """Elements of block files. ``path`` is a file, a folder or a pattern, plain or a URI.
+
+    Options of reading: ``columns``, a list with commas of the columns there should be, all others are not decoded;
+    ``offsets`` of the blocks to read; ``nodes``, ``ways``, ``relations``, ``geometries`` as false to leave them out;
+    ``change`` for files of changes whose blocks do not say so; ``blocksPerPartition``. See also the writer's options.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "mapblocks"
 
     def schema(self) -> str:
-        return blockfile.SCHEMA
+        picked = self.options.get("columns")
+        if not picked:
+            return blockfile.SCHEMA
+        # Each column with its type: the commas between columns are followed by a blank, those within types are not.
+        every = {c.split()[0]: c for c in blockfile.SCHEMA.split(", ")}
+        return ", ".join(every[c.strip()] for c in picked.split(","))
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return BlockReader(schema, dict(self.options))
@@ -190,7 +228,7 @@ class IndexReader(DataSourceReader):
         return [InputPartition(f) for f in _files(self.options["path"])]
 
     def read(self, partition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
+        with blockfile.open_file(partition.value) as f:
             for e in blockfile.read_header(f).index:
                 yield partition.value, e.tile, e.filepos, e.length, e.is_change
 
@@ -218,8 +256,8 @@ class ChangeReader(DataSourceReader):
 
     def read(self, partition) -> Iterator[tuple]:
         file_idx, path = partition.value
-        with gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb") as f:
-            for seq, e in enumerate(changexml.read(f)):
+        with blockfile.open_file(path) as raw:
+            for seq, e in enumerate(changexml.read(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw)):
                 yield (file_idx, seq, *(e.get(c) for c in changexml.COLUMNS))
 
 
@@ -238,7 +276,7 @@ class ChangeSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the sources known; filters on ``tile`` are pushed to them, which the session must allow."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (BlockSource, IndexSource, ChangeSource):
         spark.dataSource.register(source)
-
-

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapweave.operators.geometry import LINE, POINT, POLYGON
@@ -39,21 +39,33 @@ def features(geoms: DataFrame) -> DataFrame:
 
 
 def collections(geoms: DataFrame, per_block: int = 8000) -> DataFrame:
-    """``qt, part, collection``: one FeatureCollection per tile, a large tile in several parts of at most ``per_block``."""
-    from pyspark.sql import Window
+    """``qt, part, collection``: FeatureCollections of at most ``per_block`` features of one tile each.
 
-    rows = features(geoms).withColumn("salt", F.pmod(F.xxhash64("orig_kind", "id"), F.lit(64)))
-    nth = F.row_number().over(Window.partitionBy("qt", "salt").orderBy("orig_kind", "id"))
-    rows = rows.withColumn("part", F.floor((nth - 1) / max(1, per_block)).cast("bigint") * 64 + F.when(F.count(F.lit(1)).over(Window.partitionBy("qt", "salt")) > per_block, F.col("salt")).otherwise(0))
-    grouped = rows.groupBy("qt", "part").agg(F.sort_array(F.collect_list(F.struct("orig_kind", "id", "feature"))).alias("fs"))
+    A tile with more is dealt out by a hash over as many shares as it needs, each of which one task puts together.
+    """
+    per_block = max(1, per_block)
+    rows = features(geoms)
+    crowded = rows.groupBy("qt").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_block)
+    rows = rows.join(crowded.withColumnRenamed("qt", "of"), F.col("qt").eqNullSafe(F.col("of")), "left")
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("orig_kind", "id"), F.coalesce(F.ceil(F.col("n") / per_block).cast("bigint"), F.lit(1))))
+    nth = F.row_number().over(Window.partitionBy("qt", "share").orderBy("orig_kind", "id"))
+    rows = rows.withColumn("nth", F.floor((nth - 1) / per_block).cast("bigint"))
+    grouped = rows.groupBy("qt", "share", "nth").agg(F.sort_array(F.collect_list(F.struct("orig_kind", "id", "feature"))).alias("fs"))
     text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("fs", lambda f: f["feature"]), ","), F.lit("]}"))
-    return grouped.select("qt", "part", text.alias("collection"))
+    return grouped.select("qt", (F.col("share") * (1 << 20) + F.col("nth")).alias("part"), text.alias("collection"))
+
+
+def write_parts(geoms: DataFrame, folder: str, nested: bool = True) -> None:
+    """Text files, a FeatureCollection (or, not nested, a feature) on each line: every task writes its own."""
+    lines = collections(geoms).repartitionByRange("qt", "part").sortWithinPartitions("qt", "part").select("collection") if nested else features(geoms).select("feature")
+    lines.write.mode("overwrite").text(folder)
 
 
 def write(geoms: DataFrame, path: str, nested: bool = True) -> None:
     """One GeoJSON file, gzipped if it ends in .gz: nested, its features are one FeatureCollection per block of a tile.
 
-    The text is made by the tasks and comes to the writer one partition at a time.
+    The text is made by the tasks and comes to the driver one partition at a time: for what one file should hold.
+    ``write_parts`` writes what is larger.
     """
     lines = collections(geoms).orderBy("qt", "part").select("collection") if nested else features(geoms).orderBy("qt", "orig_kind", "id").select("feature")
     with gzip.open(path + ".part", "wt", encoding="utf-8") if path.endswith(".gz") else open(path + ".part", "w", encoding="utf-8") as f:
