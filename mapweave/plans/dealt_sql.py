@@ -48,6 +48,17 @@ o as (select distinct src_table, src_id, mem_type, ref_id, strftime(make_timesta
   from f left join st on st.kind = mem_type and st.id = ref_id where ref_id is not null)
 select * from o where reason is not null""",
 }
+# A value is cut into quoted pieces, protected characters, runs of what an item may hold, and single other characters,
+# each of which becomes the mark (a private character) that the rest is then split at.
+_FREE = r"[\p{L}\p{M}\p{Nd}\p{Zs}.\-]+"
+_PIECE = rf'(?s)\\.|\\$|"(?:[^"\\]|\\.|"")*(?:"|$)|{_FREE}|.'
+_UNQUOTED = """regexp_replace(regexp_replace(case when regexp_full_match(x, '(?s)"(?:[^"\\\\]|\\\\.|"")*"') then x[2:-2] else x[2:] end, '""', '"', 'g'), '(?s)\\\\(.)', '\\1', 'g')"""
+SQL["p7_found"] = f"""
+with t as (select seq, unnest(tag_keys) as k, unnest(tag_vals) as v, unnest(range(1, greatest(len(tag_keys), len(tag_vals)) + 1)) as pos from osc_changes),
+l as (select * from t where v is not null and k in (select tag from style_entries where is_list)),
+p as (select seq, pos, list_transform(regexp_extract_all(v, '{_PIECE}'), lambda x: case when x[1] = chr(92) then x[2:] when x[1] = '"' then {_UNQUOTED} when regexp_full_match(x, '{_FREE}') then x else chr(57345) end) as ps from l),
+i as (select seq, pos, list_filter(list_transform(string_split(array_to_string(ps, ''), chr(57345)), lambda s: regexp_replace(s, '^[\\p{{Zs}}\\s]+|[\\p{{Zs}}\\s]+$', '', 'g')), lambda s: s <> '') as it from p)
+select seq, cast(pos as integer) as tag_pos, cast(generate_subscripts(it, 1) as integer) as item_pos, unnest(it) as item from i where len(it) >= 2"""
 SQL["p6_per_month"] = f"select src_table, ym, reason, count(*) as n_refs from ({SQL['p6_found']}) group by all"
 SQL["p4_near"] = f"with {_POINTS} {_NEAR}"
 SQL["p4_inside"] = f"with {_POINTS}, {_EDGES} {_INSIDE}"
