@@ -20,13 +20,17 @@ def geometry_class(kind: Column) -> Column:
 def add_features(geoms: DataFrame, path: str, level: int = 8) -> None:
     """Appends geometries (as ``operators.geometry.generate`` gives them); rows without a geometry class are skipped.
 
-    The folder's tile is the feature's, rounded to ``level``, so the number of folders does not grow with the data.
+    The folder's tile is the feature's, rounded to ``level``, so the number of folders does not grow with the data. A
+    feature that reaches beyond its tile by more than the tile's size, as one whose ``qt`` is out of date may, goes to
+    the root's folder, which every scan by box reads.
     """
     every = F.coalesce(F.col("coords"), F.flatten(F.flatten("polygons")))
     lons, lats = F.transform(every, lambda p: p["lon"]), F.transform(every, lambda p: p["lat"])
     rows = geoms.withColumn("geom_class", geometry_class(F.col("geom_type"))).where("geom_class is not null")
     rows = rows.withColumn("tile_qt", qt.round_to(F.greatest(F.col("qt"), F.lit(0)), level))
     rows = rows.withColumn("box", F.struct(F.array_min(lons).alias("minx"), F.array_min(lats).alias("miny"), F.array_max(lons).alias("maxx"), F.array_max(lats).alias("maxy")))
+    near = boxes.contains(qt.bounds(F.col("tile_qt"), 1.0), F.col("box"))
+    rows = rows.withColumn("tile_qt", F.when(F.coalesce(near, F.lit(False)), F.col("tile_qt")).otherwise(F.lit(0).cast("bigint")))
     # Tiles with very many features are spread over several tasks and files.
     rows.repartition("geom_class", "tile_qt", F.pmod("id", F.lit(16))).sortWithinPartitions("geom_class", "tile_qt", "qt").write.mode("append").partitionBy("geom_class", "tile_qt").parquet(path)
 

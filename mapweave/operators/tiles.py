@@ -111,14 +111,22 @@ def choose_tiles(counts: dict[int, int], target: int, least: int, slack: int = 5
     when the root is taken, at most ``rest`` elements remain, or the upper bound passes ``widest``; what remains then
     goes to the root. The groups' sum always equals that of the counts.
     """
-    own, total, kids = defaultdict(int), defaultdict(int), defaultdict(set)
+    own, total = defaultdict(int), defaultdict(int)
     for tile, n in counts.items():
         own[tile] += n
         total[tile] += n
         while tile & 31:
-            kids[_parent(tile)].add(tile)
             tile = _parent(tile)
             total[tile] += n
+    return _walk(own, total, target, least, slack, widest, rest)
+
+
+def _walk(own: dict[int, int], total: dict[int, int], target: int, least: int, slack: int = 50, widest: int = 1_000_000, rest: int = 1000) -> dict[int, int]:
+    """``choose_tiles`` from own and subtree counts. Tiles whose subtree has fewer than ``least`` may be missing: they are never taken."""
+    own, total, kids = defaultdict(int, own), defaultdict(int, total), defaultdict(set)
+    for tile in total:
+        if tile & 31:
+            kids[_parent(tile)].add(tile)
     groups: dict[int, int] = {}
     low, high = max(least, target - slack), target + slack
     while total[0] > rest and 0 not in groups and high <= widest:
@@ -150,11 +158,13 @@ def choose_tiles(counts: dict[int, int], target: int, least: int, slack: int = 5
 def tile_groups(elements: DataFrame, target: int, least: int, level: int = 17) -> DataFrame:
     """``qt, n``: the tiles chosen for the elements; see ``choose_tiles``.
 
-    Counted tiles at ``level`` come to the driver, one number each: the number of tiles is bounded by the level chosen,
-    not by the data; choose a level whose tiles fit there.
+    Subtrees are summed up before anything comes to the driver, and only tiles with at least ``least`` elements in or
+    below them do: the others are never taken. These are at most ``level`` + 1 for every ``least`` elements, two numbers
+    each, so their number is set by the size of the groups asked for.
     """
-    counts = {r["qt"]: r["n"] for r in tile_counts(elements, level).collect()}
-    return elements.sparkSession.createDataFrame([(int(q), int(n)) for q, n in choose_tiles(counts, target, least).items()], "qt bigint, n bigint")
+    rows = tile_totals(tile_counts(elements, level)).where((F.col("total") >= least) | (F.col("qt") == 0)).collect()
+    groups = _walk({r["qt"]: r["n"] for r in rows}, {r["qt"]: r["total"] for r in rows}, target, least)
+    return elements.sparkSession.createDataFrame([(int(q), int(n)) for q, n in groups.items()], "qt bigint, n bigint")
 
 
 def assign_tiles(elements: DataFrame, tiles: DataFrame) -> DataFrame:

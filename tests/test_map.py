@@ -1,5 +1,7 @@
 """The queries over the map tables and their operators, on small tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from mapweave.operators import extract, geometry, tiles, update
@@ -69,3 +71,18 @@ def test_parent_highway_counts_very_frequent_values(spark):
     nodes = spark.createDataFrame([(i, {"highway": "crossing"}) for i in (1, 2, 3)], "id bigint, tags map<string,string>")
     got = geometry.node_parent_highways(nodes, ways.unionByName(few))
     assert {r["id"]: r["parent_highway"] for r in got.collect()} == {1: "zzz", 2: "trunk", 3: "odd"}
+
+
+def test_tile_choice_does_not_need_small_subtrees(spark):
+    rng = random.Random(6)
+    counts = {}
+    for _ in range(400):
+        z = rng.randrange(1, 9)
+        path = rng.choice([0, rng.getrandbits(2 * z), rng.getrandbits(4)]) & (4**z - 1)
+        counts[(path << (63 - 2 * z)) + z] = rng.randrange(1, 60)
+    rows = [(q,) for q, n in counts.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "qt bigint")
+    want = tiles.choose_tiles(counts, 300, 100)
+    got = {r["qt"]: r["n"] for r in tiles.tile_groups(df, 300, 100).collect()}
+    assert got == want and sum(got.values()) == len(rows) and len(got) > 5
+    assert tiles.tile_groups(df.limit(0), 300, 100).count() == 0
