@@ -96,13 +96,14 @@ def way_coordinates(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """Ways with ``coords``: their nodes in order as structs ref, lon, lat. Ways with a node that is missing drop out.
 
     ``ways``: id, refs and more; ``nodes``: id, lon, lat. Null refs count as missing. One join on node id; a way comes
-    together again by its id, so the shuffle carries places and positions only, never tags.
+    together again by its id, so the shuffle carries places and positions only, never tags. Neither join broadcasts: the
+    planner takes ways for as small as their file is compressed and with one ref each, and would send them all.
     """
-    refs = ways.select("id", F.posexplode("refs").alias("pos", "ref"))
+    refs = ways.select("id", F.posexplode("refs").alias("pos", "ref")).hint("merge")
     met = refs.join(nodes.select(F.col("id").alias("ref"), "lon", "lat"), "ref")
     lines = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "ref", "lon", "lat"))).alias("c"))
     lines = lines.select("id", F.transform("c", lambda p: F.struct(p["ref"].alias("ref"), p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("coords"))
-    return ways.join(lines, "id").where(F.size("coords") == F.size("refs"))
+    return ways.join(lines.hint("merge"), "id").where(F.size("coords") == F.size("refs"))
 
 
 def relevant_elements(nodes: DataFrame, ways: DataFrame, relations: DataFrame, box: tuple[int, int, int, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

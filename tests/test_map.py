@@ -73,6 +73,18 @@ def test_parent_highway_counts_very_frequent_values(spark):
     assert {r["id"]: r["parent_highway"] for r in got.collect()} == {1: "zzz", 2: "trunk", 3: "odd"}
 
 
+def test_geometries_of_ways_with_more_refs_than_can_be_broadcast(spark, tmp_path):
+    head, ways = f"{ELEMENT}, {TAGS}", [(w, 1, 1, True, 0, None, list(range(1, 101))) for w in range(400)]
+    style = ([("highway", False, True, None, "", True)], "tag string, is_node boolean, is_way boolean, is_poly string, tag_type string, is_feature boolean")
+    d = tables(spark, tmp_path, full_nodes=([(i, 1, 1, True, 0, None, i, i) for i in range(1, 101)], f"{head}, lon bigint, lat bigint"), full_ways=(ways, f"{head}, refs array<bigint>"), full_relations=([], head), rel_members=([], MEMBER), style_entries=style)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")
+    try:
+        got = map_queries.geometries(spark, d).groupBy("orig_kind", F.size(F.split("geojson", r"\],\[")).alias("points")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert [tuple(r) for r in got] == [(1, 100, 400)]
+
+
 def test_tile_choice_does_not_need_small_subtrees(spark):
     rng = random.Random(6)
     counts = {}
